@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import components, neardup, setsim, tokens, winnow
+from memlake.llm import components, mih, neardup, setsim, spam, tokens, winnow
 from memlake.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "memories"), "id", "content")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest_neighbours(table(spark, sf_dir, "memories"), "id", "embedding")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.version_groups(table(spark, sf_dir, "memory_edges"))
 
@@ -30,8 +34,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p6_found, p7_ids, p8_found)
+    f.__name__: f for f in (p1_found, p2_found, p5_found, p6_found, p7_ids, p8_found, p9_found)
 }
 
 _P1_VALUE = r"regexp_replace(regexp_replace(lower(v), '^\s+|\s+$', '', 'g'), '[\s_-]+', '-', 'g')"
@@ -51,6 +59,10 @@ ORACLE: dict[str, str] = {
             sizes AS (SELECT id, count(*) AS n FROM kept GROUP BY id HAVING count(*) >= 8),
             shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS s FROM kept a JOIN kept b ON a.v = b.v AND a.id < b.id GROUP BY 1, 2)
         SELECT id_a, id_b FROM shared JOIN sizes x ON x.id = id_a JOIN sizes y ON y.id = id_b WHERE s * 17 >= (x.n + y.n) * 7""",
+    "p5_found": """
+        WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM memories WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0),
+            s AS (SELECT a.id, b.id AS neighbour_id, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.id <> b.id)
+        SELECT id, neighbour_id FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour_id) <= 5""",
     "p6_found": r"""
         WITH RECURSIVE linking AS (
                 SELECT from_memory_id AS a, to_memory_id AS b FROM memory_edges
