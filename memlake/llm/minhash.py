@@ -50,14 +50,16 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, bands: int, rows: int, se
     return keys
 
 
-def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit bitmap of each set: bit i is set if some value falls into slot i."""
-    bits = np.uint64(1) << (mix(values.view(np.uint64)) >> np.uint64(58))
-    return np.bitwise_or.reduceat(bits, offsets[:-1])
+def bitmaps(values: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
+    """Bitmap of each set, in words of 64 bits: a bit is set if some value falls into its slot."""
+    slot = mix(values.view(np.uint64)) >> np.uint64(48)
+    bits, word = np.uint64(1) << (slot & np.uint64(63)), (slot >> np.uint64(6)) % np.uint64(words)
+    return [np.bitwise_or.reduceat(np.where(word == w, bits, np.uint64(0)), offsets[:-1]).view(np.int64) for w in range(words)]
 
 
-def banded(classes: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
-    """(cid, values) to one row for each band: key, cid, n, bitmap."""
+def banded(classes: DataFrame, bands: int, rows: int, seed: int, words: int) -> DataFrame:
+    """(cid, values) to one row for each band: key, cid, n, bitmap words b0, b1, ..."""
+    maps = [f"b{w}" for w in range(words)]
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,15 +71,22 @@ def banded(classes: DataFrame, bands: int, rows: int, seed: int) -> DataFrame:
                 pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(bitmaps(values, offsets).view(np.int64)), lists],
-                names=["cid", "n", "bitmap", "keys"],
+                [
+                    batch.column(0),
+                    pa.array(np.diff(offsets).astype(np.int32)),
+                    *[pa.array(m) for m in bitmaps(values, offsets, words)],
+                    lists,
+                ],
+                names=["cid", "n", *maps, "keys"],
             )
 
-    signed = classes.select("cid", "values").mapInArrow(signatures, "cid long, n int, bitmap long, keys array<long>")
-    return signed.select(F.explode("keys").alias("key"), "cid", "n", "bitmap")
+    schema = "cid long, n int, " + "".join(f"{m} long, " for m in maps) + "keys array<long>"
+    return classes.select("cid", "values").mapInArrow(signatures, schema).select(F.explode("keys").alias("key"), "cid", "n", *maps)
 
 
-def similar_classes(classes: DataFrame, bands: int, rows: int, seed: int, numerator: int, denominator: int) -> DataFrame:
+def similar_classes(
+    classes: DataFrame, bands: int, rows: int, seed: int, numerator: int, denominator: int, bitmap_words: int = 1
+) -> DataFrame:
     """Pairs of classes (cid, values) with Jaccard similarity of at least numerator/denominator.
 
     Records that share a band's bucket are joined. Two exact bounds sit in the join
@@ -86,16 +95,17 @@ def similar_classes(classes: DataFrame, bands: int, rows: int, seed: int, numera
     Candidates are made distinct and verified on the whole sets.
     """
     p, q = numerator, denominator
-    buckets = banded(classes, bands, rows, seed)
+    buckets = banded(classes, bands, rows, seed, bitmap_words)
     a, b = buckets.alias("a"), buckets.alias("b")
     total = F.col("a.n") + F.col("b.n")
+    differing = sum(F.bit_count(F.col(f"a.b{w}").bitwiseXOR(F.col(f"b.b{w}"))) for w in range(bitmap_words))
     candidates = (
         a.join(
             b,
             (F.col("a.key") == F.col("b.key"))
             & (F.col("a.cid") < F.col("b.cid"))
             & (F.least("a.n", "b.n") * q >= F.greatest("a.n", "b.n") * p)
-            & (F.bit_count(F.col("a.bitmap").bitwiseXOR(F.col("b.bitmap"))) * (q + p) <= total * (q - p)),
+            & (differing * (q + p) <= total * (q - p)),
         )
         .select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
         .distinct()

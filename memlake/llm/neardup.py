@@ -20,6 +20,8 @@ from memlake.llm.minhash import expand_pairs, similar_classes
 from memlake.session import materialize
 
 TREES, MAX_DEPTH, TARGET_RECALL, SEED = 20, 8, 0.9995, 23
+#: Texts made from one template share many words; longer bitmaps tell them apart before they leave the join.
+BITMAP_WORDS = 3
 
 COMMENT = r"(?s)<!--.*?-->"
 SEE_ALSO = r"(?is)\[see also:.*?\]"
@@ -62,5 +64,5 @@ def near_duplicates(
     )
     depth = prefix_depth(numerator / denominator, trees, max_depth, target_recall)
     classes = base.select("cid", "values").dropDuplicates(["cid"])
-    pairs = similar_classes(classes, trees, depth, SEED, numerator, denominator)
+    pairs = similar_classes(classes, trees, depth, SEED, numerator, denominator, BITMAP_WORDS)
     return expand_pairs(pairs, base.select("cid", "id"))
