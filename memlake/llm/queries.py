@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import components, mih, names, neardup, setsim, spam, tokens, winnow
+from memlake.llm import components, mih, names, neardup, pii, setsim, spam, tokens, winnow
 from memlake.sources.tables import table
 
 
@@ -18,6 +18,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "memories"), "id", "content")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_information(table(spark, sf_dir, "memories"), "id", "content")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "memories"), "id", "content")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.linked_names(
         table(spark, sf_dir, "entities"), table(spark, sf_dir, "memories"), table(spark, sf_dir, "given_name_forms")
@@ -45,7 +53,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_redacted, p4_found, p5_found, p6_found, p7_ids, p8_found, p9_found)
 }
 
 _P1_VALUE = r"regexp_replace(regexp_replace(lower(v), '^\s+|\s+$', '', 'g'), '[\s_-]+', '-', 'g')"
