@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-CORE_QUERIES: dict = {}
-CORE_ORACLE: dict[str, str] = {}
+from memlake.plans import assess, retrieval, upkeep  # noqa: F401 - they register their queries
+from memlake.plans.base import ORACLE as CORE_ORACLE
+from memlake.plans.base import QUERIES as CORE_QUERIES
+
+__all__ = ["CORE_ORACLE", "CORE_QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(CORE_QUERIES.values()))(spark, sf_dir)
+    return CORE_QUERIES["semantic_topk"](spark, sf_dir)
