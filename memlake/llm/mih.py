@@ -65,7 +65,8 @@ def unpack(codes: np.ndarray) -> np.ndarray:
 def rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
     """Principal axes of the centred sample, turned so that the signs lose least."""
     dims = sample.shape[1]
-    axes = np.linalg.eigh(np.cov(sample.T) + 1e-9 * np.eye(dims))[1][:, ::-1]
+    spread = np.cov(sample.T) if len(sample) > 1 else np.eye(dims)
+    axes = np.linalg.eigh(spread + 1e-9 * np.eye(dims))[1][:, ::-1]
     projected = sample @ axes
     turn = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((dims, dims)))[0]
     for _ in range(rounds):
@@ -150,7 +151,7 @@ def best_in_block(vectors: np.ndarray, keep: int, chunk: int = 2_000_000) -> tup
             found, among = np.pad(found, ((0, 0), (0, more)), constant_values=-2), np.pad(among, ((0, 0), (0, more)))
         top = np.argpartition(-found, keep - 1, axis=1)[:, :keep] if keep < found.shape[1] else np.broadcast_to(np.arange(keep), (len(rows), keep))
         places[rows], values[rows] = np.take_along_axis(among, top, axis=1), np.take_along_axis(found, top, axis=1)
-    return places, values
+    return np.where(values > -1.5, places, 0), values
 
 
 def usable(records: DataFrame, id_column: str, vector_column: str) -> DataFrame:
