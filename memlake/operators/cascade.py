@@ -146,7 +146,8 @@ def extract(records: DataFrame, known: DataFrame, model: Model = capitalised_nam
     lines = answered.select(F.col("id").alias("memory_id"), F.explode(F.split("reply", "\n")).alias("line"))
     parts = F.split("line", r"\|", 3)
     rows = lines.where(F.size(parts) == 3).select(
-        "memory_id", parts[0].alias("type"), parts[2].alias("name"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), parts[1].try_cast("double"))).alias("confidence")
+        "memory_id", parts[0].alias("type"), parts[2].alias("name"), parts[1].try_cast("double").alias("said")
     )
+    rows = rows.where(F.col("said").isNotNull()).withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "said"))).drop("said")
     names = known.groupBy(F.lower("name").alias("key")).agg(F.min("entity_id").alias("entity_id"))
-    return rows.where(F.col("confidence").isNotNull() & (F.trim("name") != "")).withColumn("key", F.lower("name")).join(names, "key", "left").drop("key")
+    return rows.where(F.trim("name") != "").withColumn("key", F.lower("name")).join(names, "key", "left").drop("key")
