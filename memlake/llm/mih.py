@@ -35,7 +35,9 @@ from memlake.session import materialize
 
 #: Bound of the sample on which rotations and depths are learned.
 SAMPLE = 20_000
-TABLES, BLOCK, MAX_BITS, SEED = 8, 5000, 32, 5
+TABLES, BLOCK, MAX_BITS, SEED = 8, 9000, 32, 5
+#: A found neighbour: its class, and its cosine from -1 to 1 in 65535 steps.
+ENTRY = np.dtype([("n", "<i8"), ("s", "<u2")])
 
 
 def pack(unit: np.ndarray) -> np.ndarray:
@@ -223,8 +225,9 @@ def nearest_neighbours(
         cids = table.column("cid").to_numpy()
         vectors = unpack(codes_of(table.column("code").chunk(0), code_bytes))
         places, values = best_in_block(vectors, k)
-        entry = np.empty((len(cids), k), dtype=[("n", "<i8"), ("s", "<f4")])
-        entry["n"], entry["s"] = cids[places], values
+        entry = np.zeros((len(cids), k), dtype=ENTRY)
+        entry["n"] = cids[places]
+        entry["s"] = np.where(values > -1.5, np.rint((np.clip(values, -1, 1) + 1) * 32767) + 1, 0)
         found = np.ascontiguousarray(entry).view(np.uint8).reshape(len(cids), -1)
         return pa.table({"cid": cids, "found": binaries(found)})
 
@@ -288,9 +291,9 @@ def codes_of(column: pa.Array, width: int) -> np.ndarray:
 def best_of(batches: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
     """The k best distinct classes of each class."""
     cids = np.concatenate([b.column(0).to_numpy() for b in batches])
-    entry = np.concatenate([np.frombuffer(codes_of(b.column(1), 12 * k).tobytes(), dtype=[("n", "<i8"), ("s", "<f4")]) for b in batches])
-    q, n, s = np.repeat(cids, k), entry["n"], entry["s"]
-    keep = s > -1.5
+    entry = np.concatenate([np.frombuffer(codes_of(b.column(1), ENTRY.itemsize * k).tobytes(), dtype=ENTRY) for b in batches])
+    q, n, s = np.repeat(cids, k), entry["n"], (entry["s"].astype(np.float32) - 1) / 32767 - 1
+    keep = entry["s"] > 0
     q, n, s = q[keep], n[keep], s[keep]
     order = np.lexsort((-s, n, q))
     q, n, s = q[order], n[order], s[order]
