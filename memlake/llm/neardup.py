@@ -21,7 +21,7 @@ from memlake.session import materialize
 
 TREES, MAX_DEPTH, TARGET_RECALL, SEED = 20, 8, 0.9995, 23
 #: Texts made from one template share many words; longer bitmaps tell them apart before they leave the join.
-BITMAP_WORDS = 3
+BITMAP_WORDS = 2
 
 COMMENT = r"(?s)<!--.*?-->"
 SEE_ALSO = r"(?is)\[see also:.*?\]"
