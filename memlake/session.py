@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_CLEANED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "memlake", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,7 +42,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/memlake-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's own folder, which is removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark)}/memlake-{app}"
+    if app not in _CLEANED:
+        _CLEANED.add(app)
+        atexit.register(_remove, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the context may be gone already
+        pass
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
