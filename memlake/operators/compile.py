@@ -29,9 +29,8 @@ def effective_date(date: Column, created_at: Column) -> Column:
 
 def timeline(records: DataFrame) -> DataFrame:
     """(topic, id, day, line, place): every topic's records in order of their date, one line each."""
-    rows = records.select(
-        F.explode(F.array_distinct("topics")).alias("topic"), "id", effective_date(F.col("date"), F.col("created_at")).alias("day"), excerpt(F.col("content")).alias("text")
-    ).where(F.col("topic").isNotNull() & (F.col("topic") != ""))
+    lines = records.select("topics", "id", effective_date(F.col("date"), F.col("created_at")).alias("day"), excerpt(F.col("content")).alias("text"))
+    rows = lines.select(F.explode(F.array_distinct("topics")).alias("topic"), "id", "day", "text").where(F.col("topic").isNotNull() & (F.col("topic") != ""))
     order = Window.partitionBy("topic").orderBy("day", "id")
     return rows.select(
         "topic", "id", "day", F.concat(F.lit("- "), F.col("day"), F.lit(" — <m:"), F.col("id"), F.lit("> "), F.col("text")).alias("line"), F.row_number().over(order).alias("place")

@@ -49,25 +49,16 @@ def calibration_error(judged: DataFrame, bins: int = 10) -> DataFrame:
 def fit_temperature(judged: DataFrame, low: float = 0.25, high: float = 4.0, steps: int = 150) -> DataFrame:
     """(temperature, nll_before, nll_after): grid search over powers 1/T of (probability, 1 - probability).
 
-    All grid points are aggregated in one pass with partial sums; T = 1 wins ties, then the smaller T.
+    Equal judgments are counted first, and each count meets all grid points; T = 1 wins ties, then the smaller T.
     """
-    grid = [1.0] + [low + (high - low) * i / steps for i in range(steps + 1)]
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate([1.0] + [low + (high - low) * i / steps for i in range(steps + 1)])])
     eps = F.lit(1e-12)
-    p = F.greatest(F.col("probability"), eps)
-    q = F.greatest(1 - F.col("probability"), eps)
-
-    def nll(t: float) -> Column:
-        a, b = F.pow(p, F.lit(1 / t)), F.pow(q, F.lit(1 / t))
-        return F.avg(-F.log(F.greatest(F.when(F.col("truth"), a).otherwise(b) / (a + b), eps)))
-
-    # Aggregates in portions of the grid, so that no generated method grows too large.
-    parts = None
-    for at in range(0, len(grid), 16):
-        row = judged.agg(F.array(*[F.struct(F.lit(at + i).alias("i"), F.lit(t).alias("t"), F.round(nll(t), 12).alias("nll")) for i, t in enumerate(grid[at : at + 16])]).alias("x"))
-        part = row.select(F.explode("x").alias("x")).select("x.*")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.agg(
-        F.min_by("t", F.struct("nll", "i")).alias("temperature"), F.max(F.when(F.col("i") == 0, F.col("nll"))).alias("nll_before"), F.min("nll").alias("nll_after")
+    rows = judged.groupBy("probability", "truth").agg(F.count(F.lit(1)).alias("n")).select("probability", "truth", "n", F.explode(grid).alias("g"))
+    a, b = F.pow(F.greatest("probability", eps), 1 / F.col("g.t")), F.pow(F.greatest(1 - F.col("probability"), eps), 1 / F.col("g.t"))
+    loss = -F.log(F.greatest(F.when(F.col("truth"), a).otherwise(b) / (a + b), eps))
+    points = rows.groupBy("g").agg(F.round(F.sum(loss * F.col("n")) / F.sum("n"), 12).alias("nll"))
+    return points.agg(
+        F.min_by("g.t", F.struct("nll", "g.i")).alias("temperature"), F.max(F.when(F.col("g.i") == 0, F.col("nll"))).alias("nll_before"), F.min("nll").alias("nll_after")
     )
 
 

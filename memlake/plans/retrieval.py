@@ -14,13 +14,13 @@ W = f"WITH {RETRIEVAL_SQL}"
 
 @query(f"{W} SELECT query_id, id, semantic AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, id) AS r FROM scored WHERE semantic IS NOT NULL) WHERE r <= 10")
 def semantic_topk(spark, d):
-    found = retrieve.scored(memories(spark, d), query_batch(spark, d)).where(F.col("semantic").isNotNull())
+    found = retrieve.scored(memories(spark, d), query_batch(spark, d), keep=10, by="semantic", columns=["tier"]).where(F.col("semantic").isNotNull())
     return retrieve.best(found, 10, by="semantic").select("query_id", "id", F.col("semantic").alias("score"))
 
 
 @query(f"{W} SELECT query_id, match_type, count(*)::BIGINT AS n, round(sum(raw_score), 3) AS total FROM scored GROUP BY 1, 2")
 def hybrid_scored(spark, d):
-    rows = retrieve.scored(memories(spark, d), query_batch(spark, d))
+    rows = retrieve.scored(memories(spark, d), query_batch(spark, d), columns=["tier"])
     return rows.groupBy("query_id", "match_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("raw_score"), 3).alias("total"))
 
 
@@ -32,13 +32,14 @@ def tier_weighted_topk(spark, d):
 
 @query(f"{W} SELECT query_id, id FROM parts WHERE hits > 0")
 def lexical_and_match(spark, d):
-    rows = retrieve.scored(memories(spark, d), query_batch(spark, d))
-    return rows.where("lexical > 0").select("query_id", "id")
+    words_only = query_batch(spark, d).withColumn("query_vector", F.lit(None).cast("array<double>"))
+    return retrieve.scored(memories(spark, d), words_only, columns=["tier"]).select("query_id", "id")
 
 
 @query(f"{W} SELECT query_id, id, lexical FROM parts2 WHERE lexical > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, id) <= 20")
 def lexical_topk(spark, d):
-    rows = retrieve.scored(memories(spark, d), query_batch(spark, d).withColumn("query_vector", F.lit(None).cast("array<double>")))
+    words_only = query_batch(spark, d).withColumn("query_vector", F.lit(None).cast("array<double>"))
+    rows = retrieve.scored(memories(spark, d), words_only, keep=20, by="lexical", columns=["tier"])
     return retrieve.best(rows, 20, by="lexical").select("query_id", "id", "lexical")
 
 

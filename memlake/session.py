@@ -59,6 +59,15 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, for costly maps over a scan of fewer parts; a scan of a large table stays as it is."""
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores // 2 else df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 

@@ -116,7 +116,7 @@ def test_diversity_prefers_what_differs(spark):
 def test_too_many_queries_are_refused(spark, monkeypatch):
     monkeypatch.setattr(retrieve, "MAX_QUERIES", 1)
     with pytest.raises(ValueError):
-        retrieve.checked(spark.range(2))
+        retrieve.collected(batch(spark, [(1, "a", None), (2, "b", None)]))
 
 
 def test_recall_runs_end_to_end(spark):
