@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.session import materialize
+from memlake.session import materialize, spread
 
 #: Bound of the sample on which rotations and depths are learned.
 SAMPLE = 20_000
@@ -175,7 +175,7 @@ def nearest_neighbours(
     sample_rows: int = SAMPLE,
 ) -> DataFrame:
     """(id, neighbour_id): for each row the k other rows of highest cosine similarity."""
-    rows = usable(records, id_column, vector_column)
+    rows = usable(spread(records), id_column, vector_column)
     lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
     dims = lengths[0]["length"] if lengths else 2
     empty = records.sparkSession.createDataFrame([], f"id {records.schema[id_column].dataType.simpleString()}, neighbour_id {records.schema[id_column].dataType.simpleString()}")

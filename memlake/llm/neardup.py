@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.minhash import expand_pairs, similar_classes
-from memlake.session import materialize
+from memlake.session import materialize, spread
 
 TREES, MAX_DEPTH, TARGET_RECALL, SEED = 20, 8, 0.9995, 23
 #: Texts made from one template share many words; longer bitmaps tell them apart before they leave the join.
@@ -56,7 +56,7 @@ def near_duplicates(
     """(id_a, id_b), id_a < id_b, for records whose word sets have a Jaccard similarity of at least numerator/denominator."""
     hashed = F.sort_array(F.transform(word_set(F.col(content_column)), lambda w: F.xxhash64(w)))
     base = materialize(
-        records.where(F.col(id_column).isNotNull() & F.col(content_column).isNotNull())
+        spread(records).where(F.col(id_column).isNotNull() & F.col(content_column).isNotNull())
         .select(F.col(id_column).alias("id"), hashed.alias("values"))
         .where(F.size("values") >= min_words)
         .withColumn("cid", F.xxhash64("values")),

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from memlake.llm.names import GIVEN, KINDS, SHORT, fold
 from memlake.llm.pii_table import STREETS, labelled_table
+from memlake.session import spread
 
 KINDS_OF = ("email", "phone", "identity_number", "address", "name")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS_OF for p in "BI")]
@@ -461,7 +462,7 @@ def personal_information(records: DataFrame, id_column: str = "id", content_colu
                 )
 
     return (
-        records.where(F.col(id_column).isNotNull() & (F.length(content_column) > 0))
+        spread(records).where(F.col(id_column).isNotNull() & (F.length(content_column) > 0))
         .select(F.col(id_column).alias("id"), F.col(content_column).alias("content"))
         .mapInArrow(search, f"id {id_type}, kind string, found string")
         .distinct()
@@ -498,4 +499,4 @@ def redacted(records: DataFrame, id_column: str = "id", content_column: str = "c
                 whole = [None if x is None else "".join(o) + x[d:] for x, o, d in zip(texts, out, done)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, type=pa.string())], names=["id", "content"])
 
-    return records.select(F.col(id_column).alias("id"), F.col(content_column).alias("content")).mapInArrow(replace, f"id {id_type}, content string")
+    return spread(records).select(F.col(id_column).alias("id"), F.col(content_column).alias("content")).mapInArrow(replace, f"id {id_type}, content string")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.minhash import expand_pairs, similar_classes
-from memlake.session import materialize
+from memlake.session import materialize, spread
 
 #: A pair at the threshold 0.6 is missed with a probability of (1 - 0.6^3)^36 < 0.0002.
 BANDS, ROWS, SEED = 36, 3, 11
@@ -48,7 +48,7 @@ def similar_sets(
     """(id_a, id_b), id_a < id_b, for records whose sets have a Jaccard similarity of at least numerator/denominator."""
     hashed = F.sort_array(F.transform(value_set(*set_columns), lambda v: F.xxhash64(v)))
     base = materialize(
-        records.where(F.col(id_column).isNotNull())
+        spread(records).where(F.col(id_column).isNotNull())
         .select(F.col(id_column).alias("id"), hashed.alias("values"))
         .where(F.size("values") >= min_size)
         .withColumn("cid", F.xxhash64("values")),

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.session import materialize, spread
+
 MIN_SHARE, MIN_WORDS, FUNCTION_PART = 0.75, 20, 0.6
 
 #: Frequent function words of each language.
@@ -136,7 +138,7 @@ def weights(documents: DataFrame, id_column: str, text_column: str) -> DataFrame
 
     kind = documents.schema[id_column].dataType.simpleString()
     return (
-        documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
+        spread(documents).where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
         .select(F.col(id_column), F.col(text_column))
         .mapInArrow(measure, f"key {kind}, words int, spam double, function double, lang string")
     )
@@ -151,8 +153,6 @@ def stuffed_pages(
     function_part: float = FUNCTION_PART,
 ) -> DataFrame:
     """(doc_id) of the pages made of keywords, links, tags or products instead of sentences."""
-    from memlake.session import materialize
-
     measured = materialize(weights(documents, id_column, text_column), "weights")
     usual = measured.where(F.col("words") >= min_words).groupBy("lang").agg(F.percentile_approx("function", 0.5).alias("usual"))
     return (

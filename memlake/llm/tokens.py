@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 #: Leaves have at most this many characters.
 LEAF = 512
@@ -167,4 +169,4 @@ def encode_corpus(
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_column, "ids"])
 
-    return documents.select(F.col(id_column), F.col(text_column)).mapInArrow(encode, f"`{id_column}` {id_type}, ids array<int>")
+    return spread(documents).select(F.col(id_column), F.col(text_column)).mapInArrow(encode, f"`{id_column}` {id_type}, ids array<int>")

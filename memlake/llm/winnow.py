@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.llm.minhash import list_parts, mix
+from memlake.session import spread
 
 WORD = r"[\p{L}\p{N}]+"
 
@@ -81,7 +82,7 @@ def leaked_items(
 ) -> DataFrame:
     """(doc_id, item_id) for texts that share a run of at least min_run consecutive words."""
     window = min_run - k + 1
-    docs = documents.where(F.col(doc_id).isNotNull()).select(
+    docs = spread(documents).where(F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("key"), word_hashes(F.col(doc_text)).alias("words")
     )
     tests = items.where(F.col(item_id).isNotNull()).select(
