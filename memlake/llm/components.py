@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
         .distinct()
     )
     pairs = materialize(pairs, "edges")
-    labels = None
+    rounds: list[DataFrame] = []
     for _ in range(max_rounds):
         if pairs.isEmpty():
             break
@@ -41,23 +41,14 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
             .agg(F.min("p").alias("p"))
         )
         parent = materialize(parent, "parents")
-        for _ in range(2):
-            up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            jumped = materialize(parent.join(up, "p").select("v", F.col("pp").alias("p")), "parents")
-            drop_written(parent)
-            parent = jumped
-        if labels is None:
-            labels_next = parent.select(F.col("v").alias("vertex"), F.col("p").alias("label"))
-            labels_next = materialize(labels_next, "labels")
-        else:
-            to = parent.select(F.col("v").alias("label"), "p")
-            labels_next = materialize(
-                labels.join(to, "label", "left").select("vertex", F.coalesce("p", "label").alias("label")), "labels"
-            )
-            drop_written(labels)
-        labels = labels_next
-        left = parent.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        right = parent.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        # Two pointer jumps in one job: to the parent's parent's parent.
+        up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
+        upper = parent.select(F.col("v").alias("pp"), F.col("p").alias("ppp"))
+        jumped = materialize(parent.join(up, "p").join(upper, "pp").select("v", F.col("ppp").alias("p")), "labels")
+        drop_written(parent)
+        rounds.append(jumped)
+        left = jumped.select(F.col("v").alias("a"), F.col("p").alias("pa"))
+        right = jumped.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         contracted = materialize(
             pairs.join(left, "a")
             .join(right, "b")
@@ -67,13 +58,17 @@ def connected_components(edges: DataFrame, source: str, target: str, max_rounds:
             "edges",
         )
         drop_written(pairs)
-        drop_written(parent)
         pairs = contracted
     else:
         raise RuntimeError(f"labels still change after {max_rounds} rounds")
-    if labels is None:
+    if not rounds:
         return pairs.select(F.col("a").alias("vertex"), F.col("b").alias("label"))
-    return labels
+    # A record's label is that of its label of the round before; later rounds are smaller and smaller.
+    last = rounds[-1].select(F.col("v").alias("vertex"), F.col("p").alias("label"))
+    for earlier in reversed(rounds[:-1]):
+        to = last.select(F.col("vertex").alias("p"), "label")
+        last = earlier.join(to, "p", "left").select(F.col("v").alias("vertex"), F.coalesce("label", "p").alias("label"))
+    return last
 
 
 def normal_relation(relation: Column) -> Column:
