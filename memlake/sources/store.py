@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import fingerprint
+from memlake.session import spread
 
 SCHEMA_VERSION = 1
 TIERS = ("preferences", "project-context", "conversations")
@@ -121,7 +122,7 @@ def remember(records: DataFrame, incoming: DataFrame, now: Column) -> DataFrame:
     """
     once = Window.partitionBy("project_scope", "fingerprint").orderBy("id")
     batch = (
-        incoming.withColumn("fingerprint", fingerprint(F.col("content"))).withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
+        spread(incoming).withColumn("fingerprint", fingerprint(F.col("content"))).withColumn("_r", F.row_number().over(once)).where("_r = 1").drop("_r")
         .withColumn("created_at", now).withColumn("updated_at", now)
     )
     key = ["project_scope", "fingerprint"]
