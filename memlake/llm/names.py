@@ -75,6 +75,8 @@ KINDS = {
 #: Words that say nothing about which thing it is.
 FILLER = {"the", "project", "and", "team", "ltd", "co", "inc", "gmbh", "group", "partners", "services"}
 PARTICLES = {"van", "von", "der", "den", "de", "da", "di", "del", "della", "la", "le", "du", "dos", "das", "bin", "al", "el", "ten", "ter", "zu"}
+#: Words of titles and notes, which stand beside many names too.
+REMARKS = {"dr", "prof", "mrs", "miss", "ops", "contractor", "platform", "team", "she", "they", "the"}
 TITLE = re.compile(r"^(?:(?:dr|prof|mr|mrs|ms|miss|mx|sir|herr|frau|mme|sra|sr)(?:\.\s*|\s+))+", re.I)
 NOTE = re.compile(r"\s*[(\[][^)\]]*[)\]]\s*|\s+[-–—]\s+.*$")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
@@ -135,7 +137,7 @@ class Reader:
         for full, short in [*((fold(a), fold(b)) for a, b in forms), *((a, x) for a, xs in SHORT for x in xs.split())]:
             self.long.setdefault(short, set()).add(full)
         self.kinds = {x: kind for kind, xs in KINDS.items() for x in xs.split()}
-        self.given |= {g for g in given if g not in self.kinds and g not in self.long}
+        self.given |= {g for g in given if g not in self.kinds and g not in self.long and g not in PARTICLES and g not in REMARKS}
         for k in kinds:
             if k not in self.given and k not in self.long:
                 self.kinds.setdefault(k, k)
