@@ -3,8 +3,9 @@
 Method: shares of a text's words are thresholded. The text is cut into lines and those into
 clauses, and every clause is weighed on its own: words in links and link labels, hashtags, product lines
 (an article number and a price), lists of short items held together by separators (separator density),
-repeated lines, and clauses at least half of whose words are top words or parts of top n-grams of
-the text. A clause that has the function words of a sentence in its language is
+repeated lines, and clauses at least half of whose words are top words or parts of repeated n-grams of
+the text. Top words are those that are frequent each by itself, and, where the repeated words and the 2- and
+3-grams jointly make up half of the text, all of them. A clause that has the function words of a sentence in its language is
 a sentence unless it is stuffed. A text is reported when at least min_share of its words stand outside
 sentences in such clauses, it has at least min_words words, and its share of function words lies below
 a part of the median that its language has over the whole corpus.
@@ -29,6 +30,10 @@ from pyspark.sql import functions as F
 from memlake.session import materialize, spread
 
 MIN_SHARE, MIN_WORDS, FUNCTION_PART = 0.75, 20, 0.6
+#: From which count a word or an n-gram is repeated, and the part of a text's words that all of them must make up together.
+WORD_REPEATS, GRAM_REPEATS, JOINT_SHARE = 4, 3, 0.5
+#: Prose of n words has about n ** 0.85 different ones in any language.
+VOCABULARY = 0.7
 
 #: Frequent function words of each language.
 FUNCTION_WORDS = {
@@ -63,6 +68,47 @@ def stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") else word
 
 
+def plain_stems(words: list[str]) -> list[str]:
+    return [w if w in _FUNCTION else stem(w) for w in words]
+
+
+def within(stems: list[str], repeated: set[str], grams: set[tuple[str, ...]]) -> list[bool]:
+    """Which words are repeated ones or stand in a repeated n-gram."""
+    out = [w in repeated for w in stems]
+    if grams:
+        for i in range(len(stems) - 1):
+            for k in (2, 3):
+                if tuple(stems[i : i + k]) in grams:
+                    out[i : i + k] = [True] * k
+    return out
+
+
+def repetition(words: list[str], counts: Counter) -> tuple[set[str], set[tuple[str, ...]]]:
+    """The repeated words, and the repeated 2- and 3-grams that begin and end with one, if jointly they make up the text; else nothing.
+
+    The rest of a text that is made of them must be small too: long prose in a language without a list of
+    function words repeats most of its words, but has many more different ones.
+    """
+    n = len(words)
+    often = {w for w, c in counts.items() if c >= GRAM_REPEATS and w not in _FUNCTION}
+    # A 3-gram has one inner word at most for each word of its ends.
+    if 2 * sum(counts[w] for w in often) < JOINT_SHARE * n:
+        return set(), set()
+    stems = plain_stems(words)
+    ends = [w in often for w in stems]
+    seen: Counter = Counter()
+    for i in range(n - 1):
+        if ends[i]:
+            for k in (2, 3):
+                if i + k <= n and ends[i + k - 1]:
+                    seen[tuple(stems[i : i + k])] += 1
+    grams = {g for g, c in seen.items() if c >= GRAM_REPEATS}
+    repeated = {w for w in often if counts[w] >= WORD_REPEATS}
+    known = repeated | {w for g in grams for w in (g[0], g[-1])}
+    few = 2 * len(known) >= len(counts) or len(counts) <= n**VOCABULARY
+    return (repeated, grams) if few and sum(within(stems, repeated, grams)) >= JOINT_SHARE * n else (set(), set())
+
+
 def weigh(text: str) -> tuple[int, float, float, str]:
     """Words, share of words in spam clauses, share of function words, and the language."""
     words = [w.lower() for w in WORD.findall(text)]
@@ -79,6 +125,7 @@ def weigh(text: str) -> tuple[int, float, float, str]:
         heavy |= SELLING
         lower = text.lower()
         heavy |= {w for phrase in PHRASES if phrase in lower for w in phrase.split()}
+    repeated, grams = repetition(words, counts)
     lines = [line for line in text.split("\n") if line.strip()]
     seen = Counter(line.strip().lower() for line in lines)
     spam = 0
@@ -114,10 +161,15 @@ def weigh(text: str) -> tuple[int, float, float, str]:
             m = len(own)
             if not m:
                 continue
-            stuffed = sum(stem(w) in heavy or w in heavy for w in own)
-            grammar = sum(w in _FUNCTION and w not in heavy for w in own)
+            if repeated or grams:
+                part = within(plain_stems(own), repeated, grams)
+                stuffed = sum(p or stem(w) in heavy or w in heavy for w, p in zip(own, part))
+                grammar = sum(w in _FUNCTION and w not in heavy and not p for w, p in zip(own, part))
+            else:
+                stuffed = sum(stem(w) in heavy or w in heavy for w in own)
+                grammar = sum(w in _FUNCTION and w not in heavy for w in own)
             items = [x for x in SEPARATOR.split(clause) if x.strip()]
-            if (stuffed >= 0.5 * m and grammar <= 0.34 * m) or (seen[line.strip().lower()] >= 3 and m >= 2 and grammar == 0):
+            if (stuffed >= 0.5 * m and grammar <= 0.34 * m) or (seen[line.strip().lower()] >= 3 and grammar == 0 and not (m == 1 and own[0].isdigit())):
                 spam += m
             elif len(items) >= 5 and m <= 3 * len(items) and grammar <= 0.1 * m and sum(w.isdigit() for w in own) <= 0.2 * m:
                 spam += m

@@ -56,6 +56,36 @@ def test_spam_shapes(text, stuffed):
     assert (n >= spam.MIN_WORDS and share >= spam.MIN_SHARE and function <= 0.15) is stuffed
 
 
+WORDS = [f"{a}{b}" for a in ("tralim", "bokud", "venar", "sulit", "gorep", "minak", "darov", "pelus") for b in ("o", "an", "ik", "eru", "alt")]
+PHRASES = [f"{a} in {b}" for a in WORDS[:20] for b in WORDS[20:25]]
+DRAW = random.Random(9)
+
+
+@pytest.mark.parametrize(
+    "text,stuffed",
+    [
+        ("\n".join(DRAW.sample(WORDS * 250, 10_000)), True),
+        (" ".join(DRAW.sample(WORDS * 250, 10_000)), True),
+        (" ".join(DRAW.sample([f"{w}{i}" for w in WORDS for i in "abcdefghij"] * 5, 2000)), True),
+        (" ".join(w for _ in range(3) for w in [f"{w}{i}" for w in WORDS for i in "abc"]), True),
+        (" . ".join(DRAW.sample(PHRASES * 20, 2000)), True),
+        ("\n".join(WORDS + WORDS[::-1] + WORDS[1::2] + WORDS[::2]), True),
+        # Zipf's law without known function words, as prose in another language has.
+        (" ".join(DRAW.choices([f"{w}{i}" for i in range(500) for w in WORDS], weights=[1 / (r + 3) for r in range(20_000)], k=10_000)), False),
+        ("\n".join(["17"] * 40), False),
+    ],
+)
+def test_many_keywords_of_long_pages(text, stuffed):
+    n, share, function, lang = spam.weigh(text)
+    assert (n >= spam.MIN_WORDS and share >= spam.MIN_SHARE) is stuffed
+
+
+def test_long_page_of_many_keywords_is_reported(spark):
+    rows = [(i, PROSE) for i in range(5)] + [(9, "\n".join(WORDS * 250))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in spam.stuffed_pages(df).collect()] == [9]
+
+
 def test_stuffed_pages_edges(spark):
     tags = " ".join(f"#tag{i}" for i in range(30))
     rows = [(1, PROSE), (2, tags), (2, tags), (3, None), (4, ""), (5, "  "), (None, tags), (6, tags + " " + PROSE * 30)]
