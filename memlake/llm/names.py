@@ -15,8 +15,11 @@ and only to candidates that rank before it, so attachments form trees; the spell
 entity. Candidates are found by deletion neighbourhoods: two strings within two edits share a string
 from which at most two letters of each are deleted.
 
-Bounds: the lists of given names, short forms and kinds of things are fixed tables, plus the given_name_forms table and
-at most COMMON_TOKENS tokens learned from the entities; only they are sent to all tasks.
+Further given names and kinds of things are learned from names of two words by the place they stand in: a given name
+stands beside different family names, mostly in front of them. What is learned is a table of any size, joined with the spellings.
+
+Bounds: the lists of given names, short forms and kinds of things are fixed tables, plus the given_name_forms table, which is
+refused above MAX_NAME_FORMS rows; only they are sent to all tasks.
 
 Defined results: null and blank names drop out; rows of type decision take no part (a null type does); a
 spelling that occurs many times counts once in the result; forms without a family name or root link only to equal
@@ -28,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from memlake.session import materialize
 
-COMMON_TOKENS, COMMON_PARTNERS = 400, 12
+MAX_NAME_FORMS = 10_000
+#: A token is learned from so many different partners, with this part of them in its own place; one within a letter of a token with TYPO_PART times the partners is a typo of it.
+LEAST_PARTNERS, PLACE_SHARE, TYPO_PART = 3, 2 / 3, 4
 EDIT, MISSING_GIVEN, UNKNOWN_GIVEN, EVIDENCE, FLOOR = -3.5, -4.0, -6.0, 7.0, -13.0
 
 #: Common given names, folded.
@@ -119,6 +124,11 @@ def allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 8 else 2 if length < 12 else 3
 
 
+def letters_left(word: str) -> set[str]:
+    """The string, and what is left when one of its letters is deleted."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
 def neighbourhood(core: str) -> set[str]:
     """The string with up to two of its letters deleted, fewer for short ones."""
     out, last = {core}, {core}
@@ -144,6 +154,27 @@ class Reader:
         self.suffixes = sorted((k for k in [*self.kinds, "project"] if len(k) >= 4), key=len, reverse=True)
         self.near = self.around([k for k in self.kinds if len(k) >= 5])
         self.near_given = self.around([g for g in [*self.given, *self.long] if len(g) >= 4])
+        self.learn((), ())
+
+    def learn(self, given: Iterable[str], kinds: Iterable[str]) -> None:
+        """The learned tokens that can concern the next name; they replace those of the one before."""
+        self.row_given, self.row_kinds = set(given), set(kinds)
+        self.row_near = {w for w in self.row_kinds if len(w) >= 5}
+        self.row_near_given = {w for w in self.row_given if len(w) >= 4}
+
+    def keys(self, name: str) -> list[str]:
+        """Strings of which one is a learned token's or one of its deletions', if that token can concern the name."""
+        text = unicodedata.normalize("NFKC", name)
+        plain = re.sub(r"[’'`]", "", text)
+        forms = (text, plain, CAMEL.sub(" ", plain), re.sub(r"GmbH", "Gmbh", plain))
+        words = {fold(w) for x in forms for w in re.findall(r"[^\W_]+", x)}
+        out = set(words)
+        for w in list(words):
+            # Parts of joined words.
+            if " " not in plain and len(w) >= 8:
+                out |= {w[i:j] for i in range(5, len(w) - 2) for j in range(i + 3, len(w) + 1)}
+                words |= {w[:i] for i in range(5, len(w) - 2)}
+        return sorted(out.union(*map(letters_left, words)))
 
     @staticmethod
     def around(words: list[str]) -> dict[str, list[str]]:
@@ -154,21 +185,29 @@ class Reader:
         return near
 
     @staticmethod
-    def closest(word: str, near: dict[str, list[str]], least: int) -> str:
+    def closest(word: str, near: dict[str, list[str]], least: int, learned: set[str] = frozenset()) -> str:
         if len(word) < least:
             return ""
-        found = {w for x in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)))) for w in near.get(x, ())}
+        found = {w for x in (word, *(word[:i] + word[i + 1 :] for i in range(len(word)))) for w in near.get(x, ())} | learned
         found = sorted((edits(word, w, 1), w) for w in found)
         return found[0][1] if found and found[0][0] <= 1 else ""
 
     def kind(self, word: str) -> str:
-        return self.kinds.get(word) or self.kinds.get(self.closest(word, self.near, 5), "")
+        if word in self.kinds:
+            return self.kinds[word]
+        if word in self.row_kinds:
+            return word
+        near = self.closest(word, self.near, 5, self.row_near)
+        return self.kinds.get(near, near)
+
+    def is_given(self, word: str) -> bool:
+        return word in self.given or word in self.row_given
 
     def known(self, word: str) -> bool:
-        return word in self.given or word in self.long
+        return self.is_given(word) or word in self.long
 
     def like_given(self, word: str) -> bool:
-        return self.known(word) or bool(self.closest(word, self.near_given, 4))
+        return self.known(word) or bool(self.closest(word, self.near_given, 4, self.row_near_given))
 
     def read(self, name: str) -> tuple[str, str, str, str, bool]:
         """sort ('person', 'thing' or 'other'), given name or initial, core, kind of thing or second part of a double family name, full."""
@@ -194,13 +233,16 @@ class Reader:
 
     def unjoin(self, word: str) -> list[str]:
         tail: list[str] = []
-        short = next((k for k in self.kinds if len(k) < 5 and word.endswith(k) and any(word[: -len(k)].endswith(x) for x in self.suffixes)), "")
+        suffixes = self.suffixes
+        if self.row_kinds:
+            suffixes = sorted([*suffixes, *(k for k in self.row_kinds if len(k) >= 4)], key=lambda k: (-len(k), k))
+        short = next((k for k in [*self.kinds, *sorted(self.row_kinds)] if len(k) < 5 and word.endswith(k) and any(word[: -len(k)].endswith(x) for x in suffixes)), "")
         if short:
             word, tail = word[: -len(short)], [short]
         again = True
         while again:
             again = False
-            for k in self.suffixes:
+            for k in suffixes:
                 if word.endswith(k) and len(word) - len(k) >= 5 and (len(k) >= 5 or tail):
                     word, tail, again = word[: -len(k)], [k, *tail], True
                     break
@@ -278,7 +320,7 @@ class Reader:
             return -3.5 if any(s[0] == a for s in shorts | self.long.get(b, set())) else None
         if bases_v & bases_c:
             return -1.5
-        if v in self.given and c in self.given:
+        if self.is_given(v) and self.is_given(c):
             return None
         best = None
         for x in bases_v:
@@ -288,10 +330,10 @@ class Reader:
                     cost = n * EDIT - (0 if (x, y) == (v, c) else 1.5)
                     best = cost if best is None else max(best, cost)
         # A mistyped short form: "Johy" for Joseph.
-        near = self.closest(v, self.near_given, 4)
+        near = self.closest(v, self.near_given, 4, self.row_near_given)
         if best is None and near and (self.long.get(near, set()) | {near}) & bases_c:
             best = EDIT - 1.5
-        near = self.closest(c, self.near_given, 4)
+        near = self.closest(c, self.near_given, 4, self.row_near_given)
         if best is None and near and (self.long.get(near, set()) | {near}) & bases_v:
             best = EDIT - 1.5
         if best is None and not (self.known(v) and self.known(c)) and not (self.like_given(v) and self.like_given(c)):
@@ -315,15 +357,55 @@ class Reader:
         return wrong * EDIT + given
 
 
-def common_tokens(names: DataFrame) -> list[str]:
-    """Tokens that stand beside many different others, at most COMMON_TOKENS of them: given names or kinds of things."""
-    words = names.select(F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}]{3,}"), 0)).alias("w")).where(F.size("w") == 2)
-    pairs = words.select(F.explode(F.array(F.struct(F.col("w")[0].alias("t"), F.col("w")[1].alias("o")), F.struct(F.col("w")[1].alias("t"), F.col("w")[0].alias("o")))).alias("x"))
-    top = (
-        pairs.select("x.t", "x.o").distinct().groupBy("t").count().where(F.col("count") >= COMMON_PARTNERS)
-        .orderBy(F.desc("count"), "t").limit(COMMON_TOKENS)
-    )
-    return [fold(r["t"]) for r in top.collect()]
+def places(names: DataFrame, forms: list[tuple[str, str]], things: bool) -> DataFrame:
+    """(t, known, n, total) of the tokens of two-word names: different partners with t as the given name or kind, and all of them.
+
+    Where one of the two words is known, its place is certain; otherwise a given name stands in front or after a comma and
+    a kind of thing last.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(forms, [], [])
+        known = reader.kinds.__contains__ if things else reader.known
+        for batch in batches:
+            out = []
+            for name in batch.column(0).to_pylist():
+                text = TITLE.sub("", NOTE.sub(" ", unicodedata.normalize("NFKC", name).strip()).strip())
+                words = list(dict.fromkeys(fold(w) for w in re.findall(r"[^\W\d_]{3,}", re.sub(r"[’'`]", "", text))))
+                if len(words) == 2:
+                    a, b = words
+                    first = known(a) if known(a) != known(b) else not things and "," not in text
+                    out += [(a, b, known(a), first), (b, a, known(b), not first)]
+            columns = list(zip(*out)) if out else [[]] * 4
+            kind = (pa.string(), pa.string(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kind)], names=["t", "o", "known", "own"])
+
+    pairs = names.mapInArrow(split, "t string, o string, known boolean, own boolean").distinct()
+    return pairs.groupBy("t", "known").agg(F.sum(F.col("own").cast("long")).alias("n"), F.count(F.lit(1)).alias("total"))
+
+
+def token_keys(tokens: DataFrame) -> DataFrame:
+    """The rows once for t itself and for each string that is left when a letter of it is deleted."""
+    return tokens.withColumn("key", F.explode(F.expr("array_distinct(concat(array(t), transform(sequence(1, length(t)), i -> concat(substring(t, 1, i - 1), substring(t, i + 1)))))")))
+
+
+def learned_tokens(names: DataFrame, forms: list[tuple[str, str]], things: bool) -> DataFrame:
+    """(t) of all tokens that stand in the place of a given name (or kind) beside different others and aren't typos of more frequent ones."""
+    reader = Reader(forms, [], [])
+    never = PARTICLES | REMARKS | FILLER | {"project"} | set(reader.long) | (reader.given if things else set(reader.kinds))
+    counted = materialize(places(names, forms, things), "places")
+    fit = ~F.col("known") & (F.col("n") >= LEAST_PARTNERS) & (F.col("n") >= PLACE_SHARE * F.col("total")) & ~F.col("t").isin(*sorted(never))
+    found = counted.where(fit).select("t", "n")
+    more = token_keys(counted.where(fit | F.col("known")).select("t", F.col("n").alias("more"))).withColumnRenamed("t", "other")
+    typos = token_keys(found).join(more, "key").where((F.col("t") != F.col("other")) & (F.col("more") >= TYPO_PART * F.col("n"))).select("t").distinct()
+    return found.select("t").join(typos, "t", "left_anti")
+
+
+def name_forms(given_name_forms: DataFrame) -> list[tuple[str, str]]:
+    rows = given_name_forms.dropna(subset=["given_name", "short_form"]).select("given_name", "short_form").distinct().limit(MAX_NAME_FORMS + 1).collect()
+    if len(rows) > MAX_NAME_FORMS:
+        raise ValueError(f"more than {MAX_NAME_FORMS} forms of given names; they are sent to all tasks")
+    return [(r[0], r[1]) for r in rows]
 
 
 FORM = ("sort", "given", "core", "extra")
@@ -343,15 +425,34 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     people = memories.select(F.explode("people").alias("name")).where(F.col("name").isNotNull() & blank)
     spellings = from_rows.select("name").union(people).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
-    forms = [(r[0], r[1]) for r in given_name_forms.dropna().select("given_name", "short_form").distinct().limit(10_000).collect()]
-    given = common_tokens(from_rows.where(F.col("type") == "person").select("name").distinct())
-    kinds = common_tokens(from_rows.where(F.col("type").isin("project", "tool")).select("name").distinct())
-    kinds = [k for k in kinds if k not in set(given)]
+    forms = name_forms(given_name_forms)
+    given = learned_tokens(from_rows.where(F.col("type") == "person").select("name").distinct(), forms, False)
+    kinds = learned_tokens(from_rows.where(F.col("type").isin("project", "tool")).select("name").distinct(), forms, True)
+    given = given.withColumn("thing", F.lit(False))
+    kinds = kinds.join(given.select("t"), "t", "left_anti").withColumn("thing", F.lit(True))
+    learned = materialize(token_keys(given.union(kinds)), "learned")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(forms, [], [])
+        for batch in batches:
+            out, keys = [], []
+            for name in batch.column(0).to_pylist():
+                found = reader.keys(name)
+                out += [name] * len(found)
+                keys += found
+            yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string()), pa.array(keys, type=pa.string())], names=["name", "key"])
+
+    met = spellings.select("name").mapInArrow(keyed, "name string, key string").join(learned, "key").groupBy("name").agg(
+        F.collect_set(F.when(~F.col("thing"), F.col("t"))).alias("given_near"), F.collect_set(F.when(F.col("thing"), F.col("t"))).alias("kinds_near")
+    )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(forms, given, kinds)
+        reader = Reader(forms, [], [])
         for batch in batches:
-            rows = [reader.read(x) for x in batch.column(0).to_pylist()]
+            rows = []
+            for name, g, k in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                reader.learn(g or (), k or ())
+                rows.append(reader.read(name))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kind = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -360,12 +461,19 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
 
     key = F.xxhash64(*FORM)
     spelled = materialize(
-        spellings.mapInArrow(read, "name string, n long, sort string, given string, core string, extra string, full boolean").withColumn("form", key),
+        spellings.join(met, "name", "left").mapInArrow(read, "name string, n long, sort string, given string, core string, extra string, full boolean").withColumn("form", key),
         "spellings",
     )
+    # The learned given names that a form's own can be or be a typo of.
+    own_near = (
+        token_keys(spelled.where((F.col("sort") == "person") & (F.length("given") > 2)).select(F.col("given").alias("t")).distinct()).withColumnRenamed("t", "given")
+        .join(learned.where(~F.col("thing")), "key").groupBy("given").agg(F.array_join(F.array_sort(F.collect_set("t")), " ").alias("near"))
+    )
     forms_table = materialize(
-        spelled.groupBy("form", *FORM).agg(F.sum("n").alias("n"), F.max("full").alias("full")), "forms"
-    )
+        spelled.groupBy("form", *FORM).agg(F.sum("n").alias("n"), F.max("full").alias("full"))
+        .join(own_near, "given", "left").select("form", *FORM, "n", "full", F.coalesce("near", F.lit("")).alias("near")),
+        "forms",
+    )
 
     def deletions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -389,7 +497,7 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     ends = pairs.select(F.col("x").alias("core_v"), F.col("y").alias("core_c")).union(
         pairs.where("x <> y").select(F.col("y").alias("core_v"), F.col("x").alias("core_c"))
     )
-    side = lambda s, t: t.select(F.col("form").alias(f"form_{s}"), F.col("n").alias(f"n_{s}"), F.col("full").alias(f"full_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in FORM])
+    side = lambda s, t: t.select(F.col("form").alias(f"form_{s}"), F.col("n").alias(f"n_{s}"), F.col("full").alias(f"full_{s}"), F.col("near").alias(f"near_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in FORM])
     variant, candidate = side("v", forms_table), side("c", forms_table.where("full"))
     before = (F.col("n_c") > F.col("n_v")) | ((F.col("n_c") == F.col("n_v")) & (F.col("form_c") < F.col("form_v"))) | ~F.col("full_v")
     near_pairs = ends.join(variant, "core_v").join(candidate, "core_c").where((F.col("form_v") != F.col("form_c")) & (F.col("sort_v") == F.col("sort_c")) & before)
@@ -400,15 +508,16 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
         .where("form_v <> form_c").select("form_v", "form_c").distinct()
     )
     row_pairs = evidence.join(variant, "form_v").join(candidate, "form_c").where(before)
-    columns = [f"{f}_{s}" for s in "vc" for f in ("form", "n", *FORM)]
+    columns = [f"{f}_{s}" for s in "vc" for f in ("form", "n", "near", *FORM)]
     scored_from = near_pairs.select(*columns, F.lit(False).alias("seen")).union(row_pairs.select(*columns, F.lit(True).alias("seen")))
     scored_from = scored_from.groupBy(*columns).agg(F.max("seen").alias("seen"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(forms, given, kinds)
+        reader = Reader(forms, [], [])
         for batch in batches:
             out = []
             for r in batch.to_pylist():
+                reader.learn([*r["near_v"].split(), *r["near_c"].split()], ())
                 v, c = ({f: r[f"{f}_{s}"] for f in FORM} for s in "vc")
                 most = max(allowed(min(len(v["core"]), len(c["core"]))), 1)
                 wrong = edits(v["core"], c["core"], most)

@@ -163,6 +163,45 @@ def test_names_link_variants_and_keep_namesakes_apart(spark):
     assert len(got) == 28 + 3
 
 
+FIRST = ["Anna", "Carlos", "Daniel", "Elena", "Felix", "Grace", "Helen", "Ivan", "Julia", "Kevin", "Laura", "Mary", "Noor", "Olga"]
+
+
+def test_frequent_family_name_is_no_given_name(spark):
+    people = [("1", "person", f"{g} Garcimoden", None) for g in FIRST]
+    got = link(spark, people, [["Garcimoden Olga", "Garcimoden Lopezatu"], ["Lopezatu, Garcimoden"]])
+    assert ("Garcimoden Olga", "Olga Garcimoden") in got
+    assert not any("Anna Garcimoden" in p for p in got)
+
+
+def test_all_frequent_given_names_are_learned(spark):
+    first = [f"{a}{b}{c}" for a in ("xo", "qui", "wa", "zhe", "yu", "ngo", "thu", "bra") for b in ("lan", "pek", "rim", "dos", "tuv", "gab", "fiz", "mol") for c in ("isha", "ombe", "ukul", "aned", "esto", "iffa", "orry")]
+    rows = [(f"{g} {f}",) for g in first for f in ("Kralimoden", "Tovikaluma", "Besturiden")] + [("Kralimoden Xolanisha",), ("Xolanisa Kralimoden",)]
+    got = {r.t for r in names.learned_tokens(spark.createDataFrame(rows, "name string"), [], False).collect()}
+    assert len(first) > 400 and got == set(first)
+
+
+def test_typos_of_frequent_names_are_not_learned(spark):
+    rows = [(f"Noor {f}imoden",) for f in "bcdfghklmnprst"] + [(f"Nor {f}imoden",) for f in "bcd"] + [(f"Marta {f}imoden",) for f in "bcd"] + [("Prof. Marta Simoden",)]
+    assert {r.t for r in names.learned_tokens(spark.createDataFrame(rows, "name string"), [], False).collect()} == {"marta"}
+
+
+def test_learned_tokens_met_by_join_read_as_if_all_were_known():
+    given, kinds = ["xolani", "quipek", "thurim"], ["flange", "sprocket", "gadg"]
+    whole, part = names.Reader([], given, kinds), names.Reader([], [], [])
+    keys = {x: t for t in [*given, *kinds] for x in names.letters_left(t)}
+    for name in ["Kralimo Xolani", "Kralimo Xolany", "xolani.kralimo", "Tovikalu Flange", "TovikaluSprocket", "tovikalusprocketflange", "Tovikalu Sproket", "Tovikalu-gadg", "Kralimosprockt", "@quipek", "Kralimo, Thurim"]:
+        near = {keys[x] for x in part.keys(name) if x in keys}
+        part.learn(near & set(given), near & set(kinds))
+        assert part.read(name) == whole.read(name), name
+
+
+def test_too_many_name_forms_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(names, "MAX_NAME_FORMS", 1)
+    forms = spark.createDataFrame([("Robert", "Bob"), ("William", "Bill"), (None, None)], "given_name string, short_form string")
+    with pytest.raises(ValueError):
+        names.name_forms(forms)
+
+
 def test_names_of_empty_tables(spark):
     empty = spark.createDataFrame([], ENTITY)
     people = spark.createDataFrame([], "people array<string>")
