@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 #: White space as in ECMAScript's \\s: Java's class is ASCII only (fixed value).
 SPACE = r"[\s\x0B   -     　﻿]"
 COMMENT = r"(?s)<!--.*?-->"
+#: Lexical matching: of words as they stand, or of English stems without stop words.
+MODES = ("simple", "english")
 SEE_ALSO = r"(?is)\[see also:.*?\]"
 
 
@@ -91,9 +93,16 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), 0), F.lower)
 
 
-def lexemes(text: Column) -> Column:
-    """Distinct tokens in order of the alphabet; no stemming, no stop words."""
-    return F.sort_array(F.array_distinct(tokens(text)))
+def terms(text: Column, mode: str = "simple") -> Column:
+    """The tokens; in the mode 'english' their stems, without stop words."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; one of {', '.join(MODES)}")
+    return tokens(text) if mode == "simple" else english_terms(tokens(text))
+
+
+def lexemes(text: Column, mode: str = "simple") -> Column:
+    """Distinct terms in order of the alphabet."""
+    return F.sort_array(F.array_distinct(terms(text, mode)))
 
 
 @F.pandas_udf(T.StringType())
@@ -132,8 +141,9 @@ def relation_reply(reply: Column, allowed: tuple[str, ...]) -> Column:
 
 # Stemming after Porter's paper "An algorithm for suffix stripping" (1980).
 
+#: The stop words of PostgreSQL's text search configuration 'english'.
 STOP_WORDS = frozenset(
-    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my no nor not now of off on once only or other our out over own s same she should so some such t than that the their them then there these they this those through to too under until up very was we were what when where which while who whom why will with you your".split()
+    "a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with you your yours yourself yourselves".split()
 )
 
 
@@ -208,8 +218,8 @@ def porter(word: str) -> str:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def english_lexemes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Distinct stems without stop words, sorted; tokens are cut out in the JVM by tokens()."""
+def english_terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Stems without stop words, in order of appearance; tokens are cut out in the JVM by tokens()."""
     known: dict[str, str] = {}
 
     def stem(word: str) -> str:
@@ -218,4 +228,9 @@ def english_lexemes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         return known[word]
 
     for batch in texts:
-        yield batch.map(lambda ws: None if ws is None else sorted({stem(w) for w in ws if w not in STOP_WORDS}))
+        yield batch.map(lambda ws: None if ws is None else [stem(w) for w in ws if w not in STOP_WORDS])
+
+
+def english_lexemes(tokens: Column) -> Column:
+    """Distinct stems without stop words, sorted."""
+    return F.sort_array(F.array_distinct(english_terms(tokens)))

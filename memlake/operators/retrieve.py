@@ -3,6 +3,8 @@
 Every record is scored against every query of the batch: the semantics are an exact scan. The batch is a
 stated, small set (checked against MAX_QUERIES) that is sent to all tasks, so records are read once and
 nothing is shuffled but each Arrow batch's best rows for each query.
+
+Words match as they stand (mode 'simple', which SQL can check) or by their English stems without stop words (mode 'english').
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from memlake.functions.text import estimate_tokens, tokens, word_set
+from memlake.functions.text import estimate_tokens, terms, word_set
 from memlake.operators.filters import active, in_scopes
 from memlake.session import spread
 
@@ -27,9 +29,9 @@ TIER_ORDER = {"preferences": 0, "project-context": 1, "conversations": 2}
 SEMANTIC_SHARE, LEXICAL_SHARE = 0.7, 0.3
 
 
-def collected(queries: DataFrame) -> list:
+def collected(queries: DataFrame, mode: str = "simple") -> list:
     """The batch's rows (query_id, words, query_vector), once their number is known to be small."""
-    rows = queries.select("query_id", F.array_distinct(tokens(F.coalesce("query_text", F.lit("")))).alias("words"), "query_vector").limit(MAX_QUERIES + 1).collect()
+    rows = queries.select("query_id", F.array_distinct(terms(F.coalesce("query_text", F.lit("")), mode)).alias("words"), "query_vector").limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in one batch; split it")
     return rows
@@ -110,7 +112,7 @@ class Batch:
 
 def scored(
     records: DataFrame, queries: DataFrame, scopes: Sequence[str] | None = None, keep: int | None = None, by: str = "raw_score", per_tier: bool = False,
-    columns: Sequence[str] = ("tier", "content", "embedding", "project_scope"),
+    columns: Sequence[str] = ("tier", "content", "embedding", "project_scope"), mode: str = "simple",
 ) -> DataFrame:
     """Active records that match a query by vector or by words: semantic, lexical and combined score, and how they matched.
 
@@ -118,10 +120,10 @@ def scored(
     what can be among the best `keep` of a query (and tier) by `by`; the exact cut is best()'s. Cosines of a batch are one matrix
     product: the built-in array functions are interpreted and take a hundred times as long.
     """
-    batch_of = Batch(collected(queries))
+    batch_of = Batch(collected(queries, mode))
     query_type = queries.schema["query_id"].dataType
     passed = ["id", *columns]
-    base = spread(records.where(active() & in_scopes(scopes))).select(*passed, F.col("embedding").alias("_vector"), tokens(F.col("content")).alias("_tokens"))
+    base = spread(records.where(active() & in_scopes(scopes))).select(*passed, F.col("embedding").alias("_vector"), terms(F.col("content"), mode).alias("_tokens"))
     if "tier" not in passed:
         raise ValueError("tier is needed")
 
@@ -172,17 +174,17 @@ def weighted(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("score", rounded(F.col("raw_score") * tier_weight(F.col("tier"))))
 
 
-def hybrid_search(records: DataFrame, queries: DataFrame, k: int = 10, scopes: Sequence[str] | None = None, min_score: float = 0.0) -> DataFrame:
+def hybrid_search(records: DataFrame, queries: DataFrame, k: int = 10, scopes: Sequence[str] | None = None, min_score: float = 0.0, mode: str = "simple") -> DataFrame:
     """Candidates of each query: max(3k, 30) by raw score, floor on the raw score, then tier weights."""
     n = max(3 * k, 30)
-    candidates = best(scored(records, queries, scopes, keep=n), n)
+    candidates = best(scored(records, queries, scopes, keep=n, mode=mode), n)
     return weighted(candidates.where(F.col("raw_score") >= min_score))
 
 
-def progressive_search(records: DataFrame, queries: DataFrame, k: int = 10, stop_at: float = 0.6, scopes: Sequence[str] | None = None) -> DataFrame:
+def progressive_search(records: DataFrame, queries: DataFrame, k: int = 10, stop_at: float = 0.6, scopes: Sequence[str] | None = None, mode: str = "simple") -> DataFrame:
     """Tier after tier: a tier counts only if no earlier one had a raw score of stop_at or more."""
     n = max(3 * k, 30)
-    per_tier = best(scored(records, queries, scopes, keep=n, per_tier=True), n, within=("query_id", "tier")).withColumn("place", tier_order(F.col("tier")))
+    per_tier = best(scored(records, queries, scopes, keep=n, per_tier=True, mode=mode), n, within=("query_id", "tier")).withColumn("place", tier_order(F.col("tier")))
     earlier = Window.partitionBy("query_id").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("raw_score").over(earlier), F.lit(-1.0))
     return weighted(per_tier.withColumn("reached", reached).where(F.col("reached") < stop_at))
@@ -246,9 +248,9 @@ def entity_records(records: DataFrame, links: DataFrame, entity_ids: DataFrame)
     return wanted.join(records.where(active()), "id").withColumn("position", F.row_number().over(recent)).withColumn("raw_score", F.lit(1.0))
 
 
-def recall(records: DataFrame, queries: DataFrame, k: int = 10, max_tokens: int | None = None, min_score: float = 0.0, scopes: Sequence[str] | None = None) -> DataFrame:
+def recall(records: DataFrame, queries: DataFrame, k: int = 10, max_tokens: int | None = None, min_score: float = 0.0, scopes: Sequence[str] | None = None, mode: str = "simple") -> DataFrame:
     """(query_id, id, score, position): search, floor, tier weights, diversity, token budget, in this order."""
-    candidates = hybrid_search(records, queries, k, scopes, min_score)
+    candidates = hybrid_search(records, queries, k, scopes, min_score, mode)
     picked = diversified(candidates, k if max_tokens is None else max(3 * k, 30))
     ranked = picked.join(candidates.select("query_id", "id", "score", "raw_score", "match_type", "content"), ["query_id", "id"])
     if max_tokens is not None:

@@ -43,6 +43,28 @@ def lexical_topk(spark, d):
     return retrieve.best(rows, 20, by="lexical").select("query_id", "id", "lexical")
 
 
+# The queries of the mode 'english' have no SQL, since the offline DuckDB has no stemmer; tests compare them with hand-made cases.
+
+
+@query()
+def english_and_match(spark, d):
+    words_only = query_batch(spark, d).withColumn("query_vector", F.lit(None).cast("array<double>"))
+    return retrieve.scored(memories(spark, d), words_only, columns=["tier"], mode="english").select("query_id", "id")
+
+
+@query()
+def english_topk(spark, d):
+    words_only = query_batch(spark, d).withColumn("query_vector", F.lit(None).cast("array<double>"))
+    rows = retrieve.scored(memories(spark, d), words_only, keep=20, by="lexical", columns=["tier"], mode="english")
+    return retrieve.best(rows, 20, by="lexical").select("query_id", "id", "lexical")
+
+
+@query()
+def english_hybrid_scored(spark, d):
+    rows = retrieve.scored(memories(spark, d), query_batch(spark, d), columns=["tier"], mode="english")
+    return rows.groupBy("query_id", "match_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("raw_score"), 3).alias("total"))
+
+
 @query(f"{W} SELECT query_id, id, raw_score, score FROM weighted WHERE raw_score >= 0.5")
 def relevance_floor(spark, d):
     return retrieve.hybrid_search(memories(spark, d), query_batch(spark, d), min_score=0.5).select("query_id", "id", "raw_score", "score")
@@ -92,6 +114,11 @@ def recall_full(spark, d):
     return retrieve.recall(memories(spark, d), query_batch(spark, d), k=10, max_tokens=400)
 
 
+@query()
+def english_recall_full(spark, d):
+    return retrieve.recall(memories(spark, d), query_batch(spark, d), k=10, max_tokens=400, mode="english")
+
+
 @query(f"""WITH {LINKS_SQL}, top AS (SELECT entity_id FROM links GROUP BY 1 ORDER BY count(*) DESC, entity_id LIMIT 3)
     SELECT entity_id, id, position FROM (SELECT l.entity_id, m.id, row_number() OVER (PARTITION BY l.entity_id ORDER BY m.updated_at DESC NULLS FIRST, m.id) AS position
         FROM links l JOIN top USING (entity_id) JOIN memories m ON m.id = l.memory_id WHERE m.type NOT IN ('rejection', 'archived')) WHERE position <= 20""")
@@ -131,6 +158,13 @@ def search_time_range(spark, d):
     return rows.where(filters.matches_all(lexemes(F.col("content")), F.array(F.lit("ledger")))).select("id", "type")
 
 
+@query()
+def english_time_range(spark, d):
+    rows = memories(spark, d).where(filters.not_rejected() & filters.within("created_at", "2023-06-01 00:00:00", "2024-01-01 00:00:00"))
+    asked = spark.range(1).select(lexemes(F.lit("the ledgers"), "english").alias("q")).first()["q"]
+    return rows.where(filters.matches_all(lexemes(F.col("content"), "english"), F.array(*map(F.lit, asked)))).select("id", "type")
+
+
 @query("SELECT project_scope, count(*)::BIGINT AS n FROM memories WHERE project_scope IN ('scope-fabubrigri', 'global') GROUP BY 1")
 def scope_union(spark, d):
     rows = memories(spark, d).where(filters.in_scopes(filters.read_scopes("scope-fabubrigri")))

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from memlake.functions import text
 from memlake.operators import cascade, edges, entities, filters, lint, measures, retrieve, sensitive, stats
 
 RECORD = "id string, content string, tier string, type string, topics array<string>, people array<string>, embedding array<float>, created_at timestamp, updated_at timestamp, project_scope string, section string, date date"
@@ -223,3 +224,18 @@ def test_extraction_clamps_and_links(spark):
     known = spark.createDataFrame([("ann lee", "e1")], "name string, entity_id string")
     got = {(r.name, r.confidence, r.entity_id) for r in cascade.extract(df, known, model).collect()}
     assert got == {("Ann Lee", 1.0, "e1"), ("New Thing", 0.5, None)}
+
+
+def test_english_mode_matches_stems_without_stop_words(spark):
+    rows = [dict(id="a", content="Migrating schemas, migrating"), dict(id="b", content="a schema of the migration"), dict(id="c", content="schema only")]
+    df = records(spark, rows)
+    queries = batch(spark, [(1, "schema migration", None), (2, "the schemas of our migrations", None), (3, "of the", None)])
+    found = lambda mode: sorted((r.query_id, r.id) for r in retrieve.scored(df, queries, mode=mode).collect())
+    assert found("simple") == [(1, "b"), (3, "b")]
+    assert found("english") == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    lexical = {r.id: r.lexical for r in retrieve.scored(df, queries.where("query_id = 1"), mode="english").collect()}
+    assert lexical == {"a": 0.75, "b": 0.666667}
+    assert {r.id for r in retrieve.recall(df, queries.where("query_id = 2"), mode="english").collect()} == {"a", "b"}
+    assert {r.id for r in df.where(filters.matches_all(text.lexemes(F.col("content"), "english"), text.lexemes(F.lit("the schemas"), "english"))).collect()} == {"a", "b", "c"}
+    with pytest.raises(ValueError):
+        retrieve.scored(df, queries, mode="French")
