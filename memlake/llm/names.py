@@ -408,10 +408,21 @@ def name_forms(given_name_forms: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
+def settled(parents: DataFrame, max_jumps: int) -> DataFrame:
+    """(form, root) with the parent's parent taken until no root changes; a jump doubles the depth that is settled."""
+    for _ in range(max_jumps):
+        up = parents.select(F.col("form").alias("root"), F.col("root").alias("up"))
+        jumped = materialize(parents.join(up, "root").select("form", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "parents")
+        parents = jumped.select("form", "root")
+        if jumped.where("moved").isEmpty():
+            return parents
+    raise RuntimeError(f"roots still change after {max_jumps} jumps")
+
+
 FORM = ("sort", "given", "core", "extra")
 
 
-def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: DataFrame, max_jumps: int = 4) -> DataFrame:
+def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: DataFrame, max_jumps: int = 64) -> DataFrame:
     """(name_a, name_b): different spellings of one person, project or tool."""
     blank = F.regexp_replace("name", r"[\s ​]+", "") != ""
     named = entities.where(F.coalesce(F.col("type"), F.lit("")) != "decision")
@@ -538,9 +549,6 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
         F.max_by("to", F.struct("posterior", "to")).alias("to")
     )
     parents = materialize(forms_table.select("form").join(best, "form", "left").select("form", F.coalesce("to", "form").alias("root")), "parents")
-    for _ in range(max_jumps):
-        up = parents.select(F.col("form").alias("root"), F.col("root").alias("up"))
-        parents = materialize(parents.join(up, "root").select("form", F.col("up").alias("root")), "parents")
-    grouped = spelled.select("name", "form").join(parents, "form").select("root", "name")
+    grouped = spelled.select("name", "form").join(settled(parents, max_jumps), "form").select("root", "name")
     a, b = grouped.select("root", F.col("name").alias("name_a")), grouped.select("root", F.col("name").alias("name_b"))
     return a.join(b, "root").where("name_a < name_b").select("name_a", "name_b").distinct()

@@ -202,6 +202,13 @@ def test_too_many_name_forms_are_refused(spark, monkeypatch):
         names.name_forms(forms)
 
 
+def test_deep_chains_settle_and_endless_ones_are_refused(spark):
+    chain = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(70)], "form long, root long")
+    assert {r.root for r in names.settled(chain, 64).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        names.settled(chain, 4)
+
+
 def test_names_of_empty_tables(spark):
     empty = spark.createDataFrame([], ENTITY)
     people = spark.createDataFrame([], "people array<string>")
