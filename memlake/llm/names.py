@@ -2,8 +2,9 @@
 
 Method: noisy-channel attribution. Every spelling is read into a form: what is left after titles, notes and
 handles are taken off, with the given name or its initial, the family name (or the root of a project's or tool's name) and the kind of
-thing. Spellings of one form are counted together; the frequent forms that name an entity in full
-are the candidate canonical forms. A form attaches to the candidate of highest posterior:
+thing. Spellings of one form are counted together; every form is a candidate canonical form, those that name an
+entity in full before the others, the frequent before the rare. A form attaches to the candidate of highest posterior, to one
+that isn't full only if it isn't full itself and no full one will do:
 
     log frequency of the candidate            (prior)
   + typos in the family name or root          (likelihood of each edit)
@@ -509,8 +510,9 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
         pairs.where("x <> y").select(F.col("y").alias("core_v"), F.col("x").alias("core_c"))
     )
     side = lambda s, t: t.select(F.col("form").alias(f"form_{s}"), F.col("n").alias(f"n_{s}"), F.col("full").alias(f"full_{s}"), F.col("near").alias(f"near_{s}"), *[F.col(f).alias(f"{f}_{s}") for f in FORM])
-    variant, candidate = side("v", forms_table), side("c", forms_table.where("full"))
-    before = (F.col("n_c") > F.col("n_v")) | ((F.col("n_c") == F.col("n_v")) & (F.col("form_c") < F.col("form_v"))) | ~F.col("full_v")
+    variant, candidate = side("v", forms_table), side("c", forms_table)
+    rank = lambda s: F.struct(F.col(f"full_{s}"), F.col(f"n_{s}"), -F.col(f"form_{s}").cast("decimal(20,0)"))
+    before = rank("c") > rank("v")
     near_pairs = ends.join(variant, "core_v").join(candidate, "core_c").where((F.col("form_v") != F.col("form_c")) & (F.col("sort_v") == F.col("sort_c")) & before)
 
     in_row = from_rows.join(spelled.select("name", "form"), "name").select("row", "form").distinct()
@@ -519,7 +521,7 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
         .where("form_v <> form_c").select("form_v", "form_c").distinct()
     )
     row_pairs = evidence.join(variant, "form_v").join(candidate, "form_c").where(before)
-    columns = [f"{f}_{s}" for s in "vc" for f in ("form", "n", "near", *FORM)]
+    columns = [f"{f}_{s}" for s in "vc" for f in ("form", "n", "full", "near", *FORM)]
     scored_from = near_pairs.select(*columns, F.lit(False).alias("seen")).union(row_pairs.select(*columns, F.lit(True).alias("seen")))
     scored_from = scored_from.groupBy(*columns).agg(F.max("seen").alias("seen"))
 
@@ -541,12 +543,13 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
                 if cost is None and r["seen"]:
                     cost = FLOOR
                 if cost is not None and cost + (EVIDENCE if r["seen"] else 0) >= FLOOR:
-                    out.append((r["form_v"], r["form_c"], cost + (EVIDENCE if r["seen"] else 0) + math.log(r["n_c"])))
-            columns = list(zip(*out)) if out else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["form", "to", "posterior"])
+                    out.append((r["form_v"], r["form_c"], r["full_c"], cost + (EVIDENCE if r["seen"] else 0) + math.log(r["n_c"])))
+            columns = list(zip(*out)) if out else [[]] * 4
+            kind = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kind)], names=["form", "to", "full", "posterior"])
 
-    best = scored_from.mapInArrow(score, "form long, to long, posterior double").groupBy("form").agg(
-        F.max_by("to", F.struct("posterior", "to")).alias("to")
+    best = scored_from.mapInArrow(score, "form long, to long, full boolean, posterior double").groupBy("form").agg(
+        F.max_by("to", F.struct("full", "posterior", "to")).alias("to")
     )
     parents = materialize(forms_table.select("form").join(best, "form", "left").select("form", F.coalesce("to", "form").alias("root")), "parents")
     grouped = spelled.select("name", "form").join(settled(parents, max_jumps), "form").select("root", "name")

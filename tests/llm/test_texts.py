@@ -209,6 +209,11 @@ def test_deep_chains_settle_and_endless_ones_are_refused(spark):
         names.settled(chain, 4)
 
 
+def test_names_without_a_full_form_link(spark):
+    got = link(spark, [("1", "person", "S. Bizizepun", ["S. F Bizizoepu"]), ("2", "tool", "Kubrixomanu v2", None), ("3", "tool", "Kubrixxomanu v3", None)], [])
+    assert got == {("S. Bizizepun", "S. F Bizizoepu"), ("Kubrixomanu v2", "Kubrixxomanu v3")}
+
+
 def test_names_of_empty_tables(spark):
     empty = spark.createDataFrame([], ENTITY)
     people = spark.createDataFrame([], "people array<string>")
