@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from memlake.functions.text import excerpt, topic_slug, topic_title
 
 UNSORTED = "uncategorized"
+#: Entries of one document at most; a larger cluster is written in numbered parts.
+PART_ENTRIES = 10_000
 
 
 def primary_topic(topics: Column) -> Column:
@@ -37,11 +39,11 @@ def timeline(records: DataFrame) -> DataFrame:
     )
 
 
-def documents(records: DataFrame, summarise=None) -> DataFrame:
-    """(topic, path, body): one document for each cluster.
+def documents(records: DataFrame, summarise=None, part_entries: int = PART_ENTRIES) -> DataFrame:
+    """(topic, path, body): one document for each cluster, or for each part_entries of its entries: topic.md, topic-part-2.md, ...
 
-    `summarise(texts) -> text` is a plug-in; the default takes each record's first sentence. A cluster is
-    assembled from rows sorted within its partition, streamed through one pass, so no cluster is held as one group.
+    `summarise(texts) -> text` is a plug-in; the default takes each record's first sentence. A cluster's entries are
+    sorted and numbered in one pass, which spills; only the entries of one part are held as a group.
     """
     make = summarise or (lambda text: text.split(". ")[0].strip())
     rows = records.select(
@@ -54,10 +56,13 @@ def documents(records: DataFrame, summarise=None) -> DataFrame:
             yield pdf[["topic", "day", "id", "entry"]]
 
     entries = rows.mapInPandas(section, "topic string, day string, id string, entry string")
-    body = entries.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("day", "id", "entry"))).alias("x"))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("day", "id", "entry"))
+    parts = entries.withColumn("part", F.floor((place - 1) / part_entries).cast("long") + 1)
+    body = parts.groupBy("topic", "part").agg(F.array_sort(F.collect_list(F.struct("day", "id", "entry"))).alias("x"))
+    number = F.when(F.col("part") > 1, F.concat(F.lit("-part-"), F.col("part").cast("string"))).otherwise(F.lit(""))
     slug = topic_slug(F.col("topic"))
     return body.select(
-        "topic", F.concat(F.lit("topics/"), slug, F.lit(".md")).alias("path"),
+        "topic", F.concat(F.lit("topics/"), slug, number, F.lit(".md")).alias("path"),
         F.concat(F.lit("# "), topic_title(F.col("topic")), F.lit("\n\n## Timeline\n\n"), F.array_join(F.transform("x", lambda e: e["entry"]), "\n"), F.lit("\n")).alias("body"),
     )
 

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from memlake.functions import text
-from memlake.operators import cascade, edges, entities, filters, lint, measures, retrieve, sensitive, stats
+from memlake.operators import cascade, compile, edges, entities, filters, lint, measures, retrieve, sensitive, stats
 
 RECORD = "id string, content string, tier string, type string, topics array<string>, people array<string>, embedding array<float>, created_at timestamp, updated_at timestamp, project_scope string, section string, date date"
 PROPERTY = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -239,3 +239,13 @@ def test_english_mode_matches_stems_without_stop_words(spark):
     assert {r.id for r in df.where(filters.matches_all(text.lexemes(F.col("content"), "english"), text.lexemes(F.lit("the schemas"), "english"))).collect()} == {"a", "b", "c"}
     with pytest.raises(ValueError):
         retrieve.scored(df, queries, mode="French")
+
+
+def test_large_clusters_are_written_in_parts(spark):
+    rows = [dict(id=f"m{i:02}", content=f"Note {i}. More", topics=["big"]) for i in range(7)] + [dict(id="s", content="Small", topics=["small"])]
+    whole = {r.path: r.body for r in compile.documents(records(spark, rows)).collect()}
+    got = {r.path: r.body for r in compile.documents(records(spark, rows), part_entries=3).collect()}
+    assert set(whole) == {"topics/big.md", "topics/small.md"} and got["topics/small.md"] == whole["topics/small.md"]
+    lines = lambda body: [x for x in body.split("\n") if x.startswith("- ")]
+    parts = [lines(got[f"topics/big{p}.md"]) for p in ("", "-part-2", "-part-3")]
+    assert [len(p) for p in parts] == [3, 3, 1] and sum(parts, []) == lines(whole["topics/big.md"])
