@@ -1,9 +1,9 @@
 """Problem 2: near-duplicate records with small edits.
 
-Method: MinHash LSH forest. Each tree holds the signatures as a sorted trie of labels;
-records below one node at depth d share a prefix of d labels. Matching starts at the full
-depth and shortens the prefix until the chance of meeting in some tree reaches the target
-for a pair at the threshold; all that meet are verified exactly on the whole word sets.
+Method: MinHash bands in place of an LSH forest. The forest's tries are not built: the prefix length at which a
+pair at the threshold still meets in some tree with the target probability follows from threshold, trees and target
+alone (3 labels for 0.7, 20 trees and 0.9995), so each tree is one band of that length and is not shortened by the
+data. All that meet are verified exactly on the whole word sets.
 
 Defined results: null content has no words; contents with fewer than min_words distinct
 words take no part; rows with a null id take no part; an id that stands in several rows counts with each
