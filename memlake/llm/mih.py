@@ -1,25 +1,27 @@
 """Problem 5: the most similar vectors for every vector.
 
 Method: multi-index hashing. Rotations are learned on a bounded sample (iterative quantisation:
-principal axes, then the rotation that brings the points nearest to the corners of the cube), and
-the signs along the rotated axes, cut at their medians, are the binary code of a vector. The code
-is split into one substring for each table, and each table indexes every vector by its substring. By the pigeonhole
-principle two codes that differ in fewer bits than there are tables agree in some substring whole, so
-looking up each table's bucket retrieves every code within that Hamming radius; the rows of
-a bucket are then ranked by cosine similarity.
-
-The depth of a table's substring is not fixed: a bucket is split by the next bit of its substring while
-the sample says that it holds more than `block` vectors. So the work for each vector stays the same
-however large the collection is, and a dense region gets longer substrings than a sparse one. Every vector
-is indexed in all tables and looked up in all tables. Only the sample reaches the driver.
-
-Vectors travel as unit vectors of 12 bits a component (cosines are right to about 0.0001). Vectors with
-equal codes form one class; only classes are indexed, so that copies cost nothing, and the result is expanded to
-the members, of which no more than the k + 1 smallest ids can be needed.
+principal axes, then the rotation that brings the points nearest to the corners of the cube). The bits of a vector's
+code say on which side of a cut it lies along each rotated axis; the cut of a bit is the median of those sample rows that share the
+bits before it, so that dense regions are cut as finely as sparse ones. The code is split into substrings, one for each table, and
+every vector is indexed by its substring in every table. A lookup probes in each table the vector's own bucket and then
+the buckets that are reached by flipping bits, those first whose flipped bits lie nearest to their cuts (the Hamming distance
+in which each bit weighs the square of its distance from the cut), until the radius of `probes` buckets is exhausted. As
+every row is a query too, all rows that a bucket holds or that probe it are ranked against each other.
+
+Rows in a bucket grow as LEAF * rows ** GROWTH, the probes stay the same: disk and network grow in proportion to the collection, and
+the time for each row with the power GROWTH, which is what keeps the recall up as buckets multiply (README has recall measured at
+several sizes). `exact=True` is the setting that misses nothing: one bucket, ranked in pairs of blocks.
+
+Vectors travel as unit vectors of 12 bits a component. Whatever that leaves open is settled on the vectors as they were given: all candidates
+whose packed cosine lies within ERROR of the k-th place are ranked again by the exact cosine, rounded to 9 decimals. Vectors with
+equal components form one class; only classes are indexed, so that copies cost nothing, and the result is expanded to
+the members, of which no more than the k + 1 smallest ids can be needed. A bucket that the sample shows to be larger than
+SPLIT leaves, as bits can't cut it, is split into blocks, and each pair of blocks is ranked by a task of its own.
 
 Defined results: null and all-zero vectors, vectors with null or non-finite components and vectors of another length
 than the most common one take no part on either side; rows with a null id take no part; an id in several rows counts once;
-ties go to the smaller id; with fewer than k others, all of them are given; an empty table gives no rows.
+ties go to the smaller id (among the KEEP best of a bucket); with fewer than k others, all of them are given; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from pyspark.sql import functions as F
 
 from memlake.session import materialize, spread
 
-#: Bound of the sample on which rotations and depths are learned.
-SAMPLE = 20_000
-TABLES, BLOCK, MAX_BITS, SEED = 8, 9000, 32, 5
+#: Bound of the sample on which rotations and cuts are learned. A leaf holds LEAST of its rows at least, so beyond about 10 ** 9 rows it should grow.
+SAMPLE, LEAST = 20_000, 4
+TABLES, PROBES, LEAF, GROWTH, MAX_BITS, SPLIT, SEED = 3, 2, 200, 0.3, 32, 3, 5
+#: Most that two packed vectors' cosine differs from the given vectors', and how many of a bucket's best are looked at for ties.
+ERROR, KEEP = 4e-4, 10
 #: A found neighbour: its class, and its cosine from -1 to 1 in 65535 steps.
 ENTRY = np.dtype([("n", "<i8"), ("s", "<u2")])
 
@@ -78,54 +82,94 @@ def rotation(sample: np.ndarray, seed: int, rounds: int = 30) -> np.ndarray:
 
 
 class Index:
-    """Learned projections, and for each table the tree of its bits."""
+    """Learned projections, for each table the tree of its bits, and the numbers of the buckets."""
 
-    def __init__(self, sample: np.ndarray, total: int, tables: int, block: int, max_bits: int, seed: int):
+    def __init__(self, sample: np.ndarray, total: int, tables: int, leaf: float, probes: int, seed: int):
         dims = sample.shape[1]
-        self.mean = sample.mean(axis=0)
+        self.mean, self.probes = sample.mean(axis=0), probes
         centred = sample - self.mean
-        # Depths needed at most: log2 of the number of blocks, with room for dense regions.
-        bits = min(max_bits, max(1, int(np.ceil(np.log2(max(2.0, total / block)))) + 6))
+        limit = max(leaf * len(sample) / max(total, 1), LEAST)
+        bits = int(min(MAX_BITS, max(1, np.ceil(np.log2(max(2.0, len(sample) / limit))) + 2)))
         parts, have = [], 0
         while have < tables * bits:
             parts.append(rotation(centred, seed + len(parts)))
             have += dims
         self.axes = np.hstack(parts)[:, : tables * bits].astype(np.float32)
-        self.cuts = np.median(centred @ self.axes, axis=0).astype(np.float32)
-        self.bits, self.tables = bits, tables
-        code = self.code(sample)
-        limit = block * len(sample) / max(total, 1)
-        self.trees = [self.grow(code[:, t * bits : (t + 1) * bits], limit) for t in range(tables)]
-
-    def code(self, vectors: np.ndarray) -> np.ndarray:
-        return ((vectors - self.mean).astype(np.float32) @ self.axes) > self.cuts
-
-    def grow(self, code: np.ndarray, limit: float) -> np.ndarray:
-        """children[node, bit] of the table's tree; -1 below a leaf."""
-        children, open_nodes = [[-1, -1]], [(0, 0, np.arange(len(code)))]
+        self.bits = bits
+        at = self.project(sample)
+        self.trees = [self.grow(at[:, t * bits : (t + 1) * bits], limit) for t in range(tables)]
+        # Where each row probes every leaf of a table, further tables can't add anything.
+        whole = [t for t in self.trees if (t[0][:, 0] < 0).sum() <= probes]
+        self.trees = whole[:1] or self.trees
+        self.first, self.blocks, number = [], [], 0
+        for children, _, held in self.trees:
+            blocks = np.where(children[:, 0] < 0, np.maximum(1, np.ceil(held * total / len(sample) / leaf / SPLIT)), 1).astype(np.int64)
+            sizes = np.where(blocks > 1, blocks * (blocks - 1) // 2, 1)
+            self.first.append(number + np.cumsum(sizes) - sizes)
+            self.blocks.append(blocks)
+            number += int(sizes.sum())
+
+    def project(self, vectors: np.ndarray) -> np.ndarray:
+        return (vectors - self.mean).astype(np.float32) @ self.axes
+
+    def grow(self, at: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """children[node, bit] (-1 below a leaf), the cut of each node, and the sample rows that it holds."""
+        children, cuts, held, open_nodes = [[-1, -1]], [0.0], [len(at)], [(0, 0, np.arange(len(at)))]
         while open_nodes:
             node, depth, rows = open_nodes.pop()
             if len(rows) <= limit or depth == self.bits:
                 continue
+            cuts[node] = float(np.median(at[rows, depth]))
+            above = at[rows, depth] > cuts[node]
             for bit in (0, 1):
+                own = rows[above == bool(bit)]
                 children[node][bit] = len(children)
                 children.append([-1, -1])
-                open_nodes.append((children[node][bit], depth + 1, rows[code[rows, depth] == bit]))
-        return np.array(children, dtype=np.int64)
-
-    def buckets(self, vectors: np.ndarray) -> np.ndarray:
-        """(vectors, tables): the bucket of each vector in each table."""
-        code = self.code(vectors).astype(np.int64)
-        out = np.empty((len(vectors), self.tables), dtype=np.int64)
-        for t, children in enumerate(self.trees):
-            node = np.zeros(len(vectors), dtype=np.int64)
-            for depth in range(self.bits):
-                below = children[node, code[:, t * self.bits + depth]]
-                if (below < 0).all():
-                    break
-                node = np.where(below >= 0, below, node)
-            out[:, t] = node * self.tables + t
-        return out
+                cuts.append(0.0)
+                held.append(len(own))
+                open_nodes.append((children[node][bit], depth + 1, own))
+        return np.array(children, dtype=np.int64), np.array(cuts, dtype=np.float32), np.array(held, dtype=np.int64)
+
+    def probed(self, at: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """(vectors, probes): leaves in the order of the flipped bits' weights, the own one first; -1 where there are fewer."""
+        children, cuts, _ = tree
+        node, cost = np.zeros((len(at), 1), dtype=np.int64), np.zeros((len(at), 1), dtype=np.float32)
+        for depth in range(self.bits):
+            inner = children[node, 0] >= 0
+            if not inner.any():
+                break
+            away = at[:, depth, None] - cuts[node]
+            own = (away > 0).astype(np.int64)
+            flipped = np.where(inner, cost + away * away, np.inf)
+            node = np.hstack([np.where(inner, children[node, own], node), np.where(inner, children[node, 1 - own], -1)])
+            cost = np.hstack([cost, flipped])
+            if node.shape[1] > self.probes:
+                best = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
+                node, cost = np.take_along_axis(node, best, axis=1), np.take_along_axis(cost, best, axis=1)
+        return np.where(np.isfinite(cost), node, -1)
+
+    def buckets(self, vectors: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the buckets in which each vector takes part, end to end, and where each vector's begin."""
+        at = self.project(vectors)
+        rows, out = [], []
+        for t, tree in enumerate(self.trees):
+            leaves = self.probed(at[:, t * self.bits : (t + 1) * self.bits], tree)
+            row, place = np.nonzero(leaves >= 0)
+            leaf = leaves[row, place]
+            blocks = self.blocks[t][leaf]
+            rows.append(row[blocks == 1])
+            out.append(self.first[t][leaf[blocks == 1]])
+            for number in np.unique(leaf[blocks > 1]):
+                count, here = int(self.blocks[t][number]), row[leaf == number]
+                own = np.mod(keys[here], count)
+                for other in range(count):
+                    met = own != other
+                    a, b = np.minimum(own[met], other), np.maximum(own[met], other)
+                    rows.append(here[met])
+                    out.append(self.first[t][number] + b * (b - 1) // 2 + a)
+        row, bucket = np.concatenate(rows), np.concatenate(out)
+        order = np.argsort(row, kind="stable")
+        return bucket[order].astype(np.int32), np.r_[0, np.cumsum(np.bincount(row, minlength=len(vectors)))].astype(np.int32)
 
 
 def best_in_block(vectors: np.ndarray, keep: int, chunk: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
@@ -165,71 +209,73 @@ def usable(records: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     ).select(F.col(id_column).alias("id"), vec.alias("vec"))
 
 
+def vectors_of(column: pa.Array, dims: int) -> np.ndarray:
+    """The vectors of a list column, scaled by the largest component, as doubles."""
+    at = column.offsets
+    flat = column.values.to_numpy(zero_copy_only=False)[at[0].as_py() : at[-1].as_py()]
+    vectors = flat.reshape(len(column), dims).astype(np.float64)
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
+
+
 def nearest_neighbours(
     records: DataFrame,
     id_column: str,
     vector_column: str,
     k: int = 5,
     tables: int = TABLES,
-    block: int = BLOCK,
+    probes: int = PROBES,
+    leaf: int = LEAF,
     sample_rows: int = SAMPLE,
+    exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour_id): for each row the k other rows of highest cosine similarity."""
     rows = usable(spread(records), id_column, vector_column)
     lengths = rows.groupBy(F.size("vec").alias("length")).count().orderBy(F.desc("count"), "length").limit(1).collect()
-    dims = lengths[0]["length"] if lengths else 2
-    empty = records.sparkSession.createDataFrame([], f"id {records.schema[id_column].dataType.simpleString()}, neighbour_id {records.schema[id_column].dataType.simpleString()}")
+    kind = records.schema[id_column].dataType.simpleString()
     if not lengths:
-        return empty
-    rows = rows.where(F.size("vec") == dims)
-    id_type = rows.schema["id"].dataType.simpleString()
-    code_bytes = 3 * ((dims + 1) // 2)
+        return records.sparkSession.createDataFrame([], f"id {kind}, neighbour_id {kind}")
+    dims, total = lengths[0]["length"], lengths[0]["count"]
+    rows = rows.where(F.size("vec") == dims).withColumn("cid", F.xxhash64("vec"))
+    base = materialize(rows.select("id", "cid"), "ids")
+    classes = rows.select("cid", "vec").dropDuplicates(["cid"])
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column(1)
-                flat = column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()]
-                vectors = flat.reshape(batch.num_rows, dims).astype(np.float64)
-                vectors /= np.abs(vectors).max(axis=1, keepdims=True)
-                codes = np.ascontiguousarray(pack(vectors))
-                yield pa.RecordBatch.from_arrays([batch.column(0), binaries(codes)], names=["id", "code"])
-
-    base = materialize(
-        rows.mapInArrow(packed, f"id {id_type}, code binary").withColumn("cid", F.xxhash64("code")), "vectors"
-    )
-    classes = base.select("cid", "code").dropDuplicates(["cid"])
-    total = base.count()
     every = max(1, total // sample_rows)
-    sampled = base.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("cid", "code").dropDuplicates(["cid"]).limit(sample_rows).toArrow()
+    sampled = rows.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("cid", "vec").dropDuplicates(["cid"]).limit(sample_rows).toArrow()
     if not sampled.num_rows:
-        sampled = base.select("cid", "code").limit(sample_rows).toArrow()
-    codes = np.frombuffer(b"".join(sampled.column("code").to_pylist()), dtype=np.uint8).reshape(-1, code_bytes)
-    index = Index(unpack(codes).astype(np.float64), total, tables, block, MAX_BITS, SEED)
+        sampled = rows.select("cid", "vec").limit(sample_rows).toArrow()
+    sampled = sampled.sort_by("cid").combine_chunks()
+    sample = vectors_of(sampled.column("vec").chunk(0), dims)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    rows_of_leaf = leaf * total**GROWTH
+    index = Index(sample, total, tables, rows_of_leaf, probes, SEED)
+    if exact:
+        index = Index(sample[:1], total, 1, rows_of_leaf, 1, SEED)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                buckets = index.buckets(unpack(codes_of(batch.column(1), code_bytes)))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, buckets.size + 1, tables, dtype=np.int32)), pa.array(buckets.reshape(-1))
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["cid", "code", "buckets"])
-
-    entries = classes.mapInArrow(placed, "cid long, code binary, buckets array<long>").select(
-        F.explode("buckets").alias("bucket"), "cid", "code"
-    )
+                codes = np.ascontiguousarray(pack(vectors_of(batch.column(1), dims)))
+                buckets, at = index.buckets(unpack(codes)[:, :dims], batch.column(0).to_numpy())
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(buckets))
+                yield pa.RecordBatch.from_arrays([batch.column(0), binaries(codes), lists], names=["cid", "code", "buckets"])
+
+    entries = classes.mapInArrow(placed, "cid long, code binary, buckets array<int>").select(F.explode("buckets").alias("bucket"), "cid", "code")
+    code_bytes, keep = 3 * ((dims + 1) // 2), max(KEEP, k + 1)
 
     def ranked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         cids = table.column("cid").to_numpy()
-        vectors = unpack(codes_of(table.column("code").chunk(0), code_bytes))
-        places, values = best_in_block(vectors, k)
-        entry = np.zeros((len(cids), k), dtype=ENTRY)
-        entry["n"] = cids[places]
-        entry["s"] = np.where(values > -1.5, np.rint((np.clip(values, -1, 1) + 1) * 32767) + 1, 0)
-        found = np.ascontiguousarray(entry).view(np.uint8).reshape(len(cids), -1)
-        return pa.table({"cid": cids, "found": binaries(found)})
+        places, values = best_in_block(unpack(codes_of(table.column("code").chunk(0), code_bytes)), keep)
+        order = np.argsort(-values, axis=1, kind="stable")
+        places, values = np.take_along_axis(places, order, axis=1), np.take_along_axis(values, order, axis=1)
+        # Besides the k best all that could be among them.
+        taken = (values > -1.5) & (values >= values[:, k - 1 : k] - 2 * ERROR)
+        entry = np.empty(int(taken.sum()), dtype=ENTRY)
+        entry["n"] = cids[places[taken]]
+        entry["s"] = np.rint((np.clip(values[taken], -1, 1) + 1) * 32767) + 1
+        at = np.r_[0, np.cumsum(taken.sum(axis=1))].astype(np.int32) * ENTRY.itemsize
+        found = pa.Array.from_buffers(pa.binary(), len(cids), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(entry)])
+        return pa.table({"cid": cids, "found": found})
 
     found = entries.groupBy("bucket").applyInArrow(ranked, "cid long, found binary")
 
@@ -249,28 +295,56 @@ def nearest_neighbours(
             yield best_of(held, k)
 
     neighbours = found.repartition("cid").sortWithinPartitions("cid").mapInArrow(merged, "cid long, other long, sim float")
-    return expand(base, neighbours, k)
+    return expand(base, classes, neighbours, k)
 
 
-def expand(base: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
-    """From classes to the ids in them."""
-    ids = base.select("cid", "id").distinct()
+def expand(base: DataFrame, classes: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
+    """From classes and candidates to the ids in them, with what is left open at the k-th place ranked by the exact cosine."""
+    ids = base.distinct()
     first = Window.partitionBy("cid").orderBy("id")
-    small = (
-        ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("cid", "id")
-    )
+    small = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("cid", "id")
     others = neighbours.join(small.select(F.col("cid").alias("other"), F.col("id").alias("neighbour_id")), "other").select(
-        "cid", F.round(F.col("sim").cast("double"), 9).alias("sim"), "neighbour_id"
+        "cid", F.col("sim").cast("double").alias("sim"), "neighbour_id", "other"
     )
-    own = small.select("cid", F.lit(2.0).alias("sim"), F.col("id").alias("neighbour_id"))
+    own = small.select("cid", F.lit(2.0).alias("sim"), F.col("id").alias("neighbour_id"), F.col("cid").alias("other"))
     lists = (
         others.union(own)
         .groupBy("cid")
-        .agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), "neighbour_id")).alias("found"))  # at most (k + 1)^2
-        .select("cid", F.transform(F.array_sort("found"), lambda x: x["neighbour_id"]).alias("found"))
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "neighbour_id", "other"))).alias("found"))  # at most (k + 1) for each of the candidates
+        .select(
+            "cid",
+            F.transform(F.filter("found", lambda x: x["far"] < -1.5), lambda x: x["neighbour_id"]).alias("own"),
+            F.filter("found", lambda x: x["far"] > -1.5).alias("found"),
+        )
+        .withColumn("need", F.greatest(F.lit(0), k + 1 - F.size("own")))
+        .withColumn("last", F.when((F.col("need") > 0) & (F.size("found") > F.col("need")), F.expr("found[need - 1].far")))
+        .withColumn("sure", F.filter("found", lambda x: F.col("last").isNull() | (x["far"] < F.col("last") - 2 * ERROR)))
+        .withColumn("open", F.filter("found", lambda x: F.col("last").isNotNull() & (F.abs(x["far"] - F.col("last")) <= 2 * ERROR)))
+        .withColumn("take", F.col("need") - F.size("sure"))
+    )
+    settled = F.col("last").isNull() | (F.size("open") <= F.col("take"))
+    certain = lists.select(
+        "cid",
+        F.concat(
+            "own",
+            F.transform(F.slice(F.col("sure"), F.lit(1), F.col("need")), lambda x: x["neighbour_id"]),
+            F.when(settled, F.transform("open", lambda x: x["neighbour_id"])).otherwise(F.array()),
+        ).alias("certain"),
+    )
+    pairs = lists.where(~settled).select("cid", "take", F.explode("open").alias("o")).select("cid", "take", "o.other", "o.neighbour_id")
+    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    far = -F.round(cosine("vec", "vec_other") / (F.sqrt(cosine("vec", "vec")) * F.sqrt(cosine("vec_other", "vec_other"))), 9)
+    closer = (
+        pairs.join(classes, "cid")
+        .join(classes.select(F.col("cid").alias("other"), F.col("vec").alias("vec_other")), "other")
+        .select("cid", "take", F.struct(far.alias("far"), "neighbour_id").alias("o"))
+        .groupBy("cid")
+        .agg(F.array_sort(F.collect_list("o")).alias("o"), F.max("take").alias("take"))
+        .select("cid", F.transform(F.slice(F.col("o"), F.lit(1), F.col("take")), lambda x: x["neighbour_id"]).alias("closer"))
     )
+    given = certain.join(closer, "cid", "left").select("cid", F.concat("certain", F.coalesce("closer", F.array())).alias("found"))
     return (
-        ids.join(lists, "cid")
+        ids.join(given, "cid")
         .select("id", F.slice(F.array_remove(F.col("found"), F.col("id")), 1, k).alias("found"))
         .select("id", F.explode("found").alias("neighbour_id"))
     )
@@ -289,12 +363,16 @@ def codes_of(column: pa.Array, width: int) -> np.ndarray:
 
 
 def best_of(batches: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
-    """The k best distinct classes of each class."""
+    """The k best distinct classes of each class, and those that could be among them."""
     cids = np.concatenate([b.column(0).to_numpy() for b in batches])
-    entry = np.concatenate([np.frombuffer(codes_of(b.column(1), ENTRY.itemsize * k).tobytes(), dtype=ENTRY) for b in batches])
-    q, n, s = np.repeat(cids, k), entry["n"], (entry["s"].astype(np.float32) - 1) / 32767 - 1
-    keep = entry["s"] > 0
-    q, n, s = q[keep], n[keep], s[keep]
+    size, flat = [], []
+    for b in batches:
+        column = b.column(1)
+        at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        size.append(np.diff(at) // ENTRY.itemsize)
+        flat.append(np.frombuffer(column.buffers()[2], dtype=np.uint8)[at[0] : at[-1]].tobytes() if at[-1] > at[0] else b"")
+    entry = np.frombuffer(b"".join(flat), dtype=ENTRY)
+    q, n, s = np.repeat(cids, np.concatenate(size)), entry["n"], (entry["s"].astype(np.float32) - 1) / 32767 - 1
     order = np.lexsort((-s, n, q))
     q, n, s = q[order], n[order], s[order]
     new = np.ones(len(q), dtype=bool)
@@ -303,6 +381,7 @@ def best_of(batches: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
     order = np.lexsort((n, -s, q))
     q, n, s = q[order], n[order], s[order]
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
-    rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    keep = rank < k
+    sizes = np.diff(np.r_[starts, len(q)])
+    last = np.repeat(s[np.minimum(starts + k, starts + sizes) - 1], sizes) if len(q) else s
+    keep = s >= last - 2 * ERROR
     return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(s[keep])], names=["cid", "other", "sim"])

@@ -65,7 +65,7 @@ def test_nearest_small_and_dirty(spark):
     rows = [(f"v{i:03}", [float(x) for x in rng.normal(size=8)]) for i in range(60)]
     rows += [("copy1", rows[0][1]), ("copy2", [2 * x for x in rows[0][1]]), ("null", None), ("zero", [0.0] * 8), ("hole", [None] + [1.0] * 7), ("short", [1.0, 2.0]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "id string, embedding array<float>").selectExpr("*", "1 AS cid", "2 AS code")
-    got = {(r.id, r.neighbour_id) for r in mih.nearest_neighbours(df, "id", "embedding", block=20).collect()}
+    got = {(r.id, r.neighbour_id) for r in mih.nearest_neighbours(df, "id", "embedding", leaf=4).collect()}
     usable = [r for r in rows if r[0] not in ("short",)]
     want = exact(usable, 5)
     assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
@@ -86,9 +86,58 @@ def test_recall_on_clustered_vectors(spark):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(120, 32))
     rows = [(f"v{i:05}", [float(x) for x in centres[i % 120] + 0.45 * rng.normal(size=32)]) for i in range(3000)]
-    got = {(r.id, r.neighbour_id) for r in mih.nearest_neighbours(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", block=150).collect()}
+    got = {(r.id, r.neighbour_id) for r in mih.nearest_neighbours(spark.createDataFrame(rows, "id string, embedding array<float>"), "id", "embedding", leaf=15).collect()}
     want = exact(rows, 5)
-    assert len(got & want) >= 0.9 * len(want)
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_exact_setting_misses_nothing_in_many_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"v{i:05}", [float(x) for x in np.float32(rng.normal(size=6))]) for i in range(700)]
+    rows += [(f"w{i:05}", [float(np.float32(x + 1e-5 * rng.normal())) for x in rows[0][1]]) for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    got = {(r.id, r.neighbour_id) for r in mih.nearest_neighbours(df, "id", "embedding", leaf=5, exact=True).collect()}
+    assert got == exact(rows, 5)
+
+
+def test_probing_follows_the_flipped_bits_weights():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(4000, 16))
+    index = mih.Index(x, 4000, 2, 200.0, 6, 1)
+    at = index.project(x[:300])
+    for t, (children, cuts, held) in enumerate(index.trees):
+        leaves = np.flatnonzero(children[:, 0] < 0)
+        assert held[leaves].max() <= 200
+        paths = {}
+
+        def walk(node, path):
+            if children[node, 0] < 0:
+                paths[node] = path
+            else:
+                walk(children[node, 0], [*path, (node, 0)])
+                walk(children[node, 1], [*path, (node, 1)])
+
+        walk(0, [])
+        got = index.probed(at[:, t * index.bits : (t + 1) * index.bits], (children, cuts, held))
+        for i in range(300):
+            cost = {}
+            for leaf, path in paths.items():
+                away = [at[i, t * index.bits + d] - cuts[node] for d, (node, _) in enumerate(path)]
+                cost[leaf] = sum(a * a for a, (_, bit) in zip(away, path) if (a > 0) != bool(bit))
+            assert sorted(cost[n] for n in got[i]) == pytest.approx(sorted(cost.values())[:6], abs=1e-5) and cost[got[i, 0]] == 0
+
+
+def test_bucket_that_bits_cannot_cut_is_split(spark):
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(size=(40, 8)), np.ones((300, 8)) + 1e-9 * rng.normal(size=(300, 8))]
+    index = mih.Index(x[:1], 340, 1, 20.0, 1, 1)
+    buckets, at = index.buckets(x, np.arange(340))
+    met = {}
+    for i in range(340):
+        for b in buckets[at[i] : at[i + 1]]:
+            met.setdefault(b, set()).add(i)
+    assert max(map(len, met.values())) < 200
+    assert {(i, j) for rows in met.values() for i in rows for j in rows} == {(i, j) for i in range(340) for j in range(340)}
 
 
 @pytest.mark.parametrize("n,dims", [(1, 4), (5, 3), (70, 8)])
