@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memlake.session import materialize
+
 
 def hash_parameters(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -57,6 +59,23 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndar
     return [np.bitwise_or.reduceat(np.where(word == w, bits, np.uint64(0)), offsets[:-1]).view(np.int64) for w in range(words)]
 
 
+def classed(records: DataFrame, ident: Column, values: Column, min_size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Classes (cid, values) of records with equal sets of at least min_size values, and their members (cid, id).
+
+    Sets are told apart by 128 bits of their values' hashes; the class number is given out once, in a written table.
+    """
+    base = materialize(
+        records.where(ident.isNotNull()).select(ident.alias("id"), F.sort_array(values).alias("values"))
+        .where(F.size("values") >= min_size)
+        .select("id", "values", F.xxhash64("values").alias("h"), F.xxhash64(F.lit(name), "values").alias("g")),
+        f"{name}-sets",
+    )
+    groups = base.groupBy("h", "g").agg(F.first("values").alias("values")).select(F.monotonically_increasing_id().alias("cid"), "h", "g", "values")
+    classes = materialize(groups, f"{name}-classes")
+    members = materialize(base.select("id", "h", "g").join(classes.select("cid", "h", "g"), ["h", "g"]).select("cid", "id").distinct(), f"{name}-members")
+    return classes.select("cid", "values"), members
+
+
 def banded(classes: DataFrame, bands: int, rows: int, seed: int, words: int) -> DataFrame:
     """(cid, values) to one row for each band: key, cid, n, bitmap words b0, b1, ..."""
     maps = [f"b{w}" for w in range(words)]
@@ -110,6 +129,11 @@ def similar_classes(
         .select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
         .distinct()
     )
+    return verified(candidates, classes, p, q)
+
+
+def verified(candidates: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
+    """The candidates (cid_a, cid_b) whose whole sets have a Jaccard similarity of at least p/q."""
     left = classes.select(F.col("cid").alias("cid_a"), F.col("values").alias("values_a"))
     right = classes.select(F.col("cid").alias("cid_b"), F.col("values").alias("values_b"))
     shared = F.size(F.array_intersect("values_a", "values_b"))
@@ -122,8 +146,10 @@ def similar_classes(
 
 
 def expand_pairs(class_pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs of classes, and the pairs within each class, as distinct pairs of different ids with the smaller id first."""
-    members = members.distinct()
+    """Pairs of classes, and the pairs within each class, as distinct pairs of different ids with the smaller id first.
+
+    Their number grows with the square of a class; where pairs of classes and the members do, use those.
+    """
     a = members.select(F.col("cid").alias("cid_a"), F.col("id").alias("x"))
     b = members.select(F.col("cid").alias("cid_b"), F.col("id").alias("y"))
     across = class_pairs.join(a, "cid_a").join(b, "cid_b").select("x", "y")

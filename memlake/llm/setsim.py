@@ -8,7 +8,7 @@ values count once, sets below min_size take no part, rows with a null id take no
 an id that
 stands in several rows counts with each of its sets, an empty table gives no pairs. Other columns of the
 input, whatever their names, are not read. Records with equal sets form one class; only classes are
-joined, and the result is expanded to the members at the end.
+joined. `similar_set_classes` gives pairs of classes and membership, `similar_sets` all pairs of records.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.minhash import expand_pairs, similar_classes
-from memlake.session import materialize, spread
+from memlake.llm.minhash import classed, expand_pairs, similar_classes
+from memlake.session import spread
 
 #: A pair at the threshold 0.6 is missed with a probability of (1 - 0.6^3)^36 < 0.0002.
 BANDS, ROWS, SEED = 36, 3, 11
@@ -35,7 +35,7 @@ def value_set(*columns: str) -> Column:
     return F.array_distinct(F.array_compact(F.transform(joined, normal_value)))
 
 
-def similar_sets(
+def similar_set_classes(
     records: DataFrame,
     id_column: str,
     set_columns: list[str],
@@ -44,16 +44,13 @@ def similar_sets(
     denominator: int = 5,
     bands: int = BANDS,
     rows: int = ROWS,
-) -> DataFrame:
-    """(id_a, id_b), id_a < id_b, for records whose sets have a Jaccard similarity of at least numerator/denominator."""
-    hashed = F.sort_array(F.transform(value_set(*set_columns), lambda v: F.xxhash64(v)))
-    base = materialize(
-        spread(records).where(F.col(id_column).isNotNull())
-        .select(F.col(id_column).alias("id"), hashed.alias("values"))
-        .where(F.size("values") >= min_size)
-        .withColumn("cid", F.xxhash64("values")),
-        "sets",
-    )
-    classes = base.select("cid", "values").dropDuplicates(["cid"])
-    pairs = similar_classes(classes, bands, rows, SEED, numerator, denominator)
-    return expand_pairs(pairs, base.select("cid", "id"))
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs (cid_a, cid_b) of different sets with a Jaccard similarity of at least numerator/denominator, and the members (cid, id) of each set."""
+    values = F.transform(value_set(*set_columns), lambda v: F.xxhash64(v))
+    classes, members = classed(spread(records), F.col(id_column), values, min_size, "values")
+    return similar_classes(classes, bands, rows, SEED, numerator, denominator), members
+
+
+def similar_sets(records: DataFrame, id_column: str, set_columns: list[str], **settings: int) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, for the records of similar_set_classes()."""
+    return expand_pairs(*similar_set_classes(records, id_column, set_columns, **settings))

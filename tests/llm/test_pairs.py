@@ -2,7 +2,7 @@ import itertools
 import random
 import re
 
-import pytest
+import numpy as np
 
 from memlake.llm import neardup, setsim
 from memlake.llm.minhash import bitmaps, band_keys
@@ -83,16 +83,67 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) <= want and len(set(got)) >= 0.999 * len(want)
 
 
-@pytest.mark.parametrize("threshold,target", [(0.7, 0.9995), (0.8, 0.999), (0.5, 0.9)])
-def test_prefix_shortens_until_the_target(threshold, target):
-    d = neardup.prefix_depth(threshold, 20, 8, target)
-    met = lambda k: 1 - (1 - threshold**k) ** 20
-    assert met(d) >= target and (d == 8 or met(d + 1) < target)
+def forest_of(sets, crowd=4, split=4000, depth=4):
+    sets = [np.unique(np.array(x, dtype=np.int64)) for x in sets]
+    offsets = np.r_[0, np.cumsum([len(x) for x in sets])]
+    flat = np.concatenate(sets).view(np.uint64)
+    forest = neardup.Forest(0.7, depth, 0.9995, 3)
+    forest.learn(flat, offsets[:-1], len(sets), crowd, split)
+    return forest, flat, offsets
+
+
+def test_prefixes_are_long_where_records_crowd():
+    rng = np.random.default_rng(1)
+    dense = [np.r_[np.arange(30), 10_000 + rng.integers(0, 10**9, 2)] for _ in range(60)]
+    sparse = [rng.integers(10**10, 10**15, 30) for _ in range(60)]
+    forest, flat, offsets = forest_of(dense + sparse)
+    row, key, length = forest.lookups(flat, offsets)
+    assert length[row < 60].mean() > 3 and (length[row >= 60] == 1).all()
+    trees = np.bincount(row)
+    assert (trees[60:] < 10).all() and (trees[:60] == forest.trees).all()
+    # Those that share a key have it at the same length, and no shorter prefix of it is crowded.
+    for k in np.unique(key)[:200]:
+        assert len(set(length[key == k])) == 1
+
+
+def test_pairs_at_the_threshold_meet(spark):
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(30_000)]
+    common = words[:12]
+    rows, want = [], set()
+    for g in range(250):
+        own = [words[i] for i in rng.choice(np.arange(50, 30_000), 9, replace=False)]
+        shared = [*common[: rng.integers(3, 12)], *own]
+        room = int(len(shared) * 3 / 7)
+        for side, extra in (("a", room // 2), ("b", room - room // 2)):
+            rows.append((f"{g:03}{side}", " ".join([*shared, *(f"x{g}{side}{i}" for i in range(extra))])))
+        want.add((f"{g:03}a", f"{g:03}b"))
+    got = {(r.id_a, r.id_b) for r in neardup.near_duplicates(spark.createDataFrame(rows, "id string, content string"), "id", "content", crowd=4).collect()}
+    assert len(want - got) <= 1
+
+
+def test_crowded_prefix_is_split_without_loss(spark):
+    rng = random.Random(6)
+    base = [f"word{k}" for k in range(40)]
+    rows = [(f"d{i:03}", " ".join([*base, f"edit{i}"])) for i in range(120)] + [(f"e{i}", " ".join(rng.sample([f"v{k}" for k in range(500)], 20))) for i in range(60)]
+    got = [(r.id_a, r.id_b) for r in neardup.near_duplicates(spark.createDataFrame(rows, "id string, content string"), "id", "content", split=20).collect()]
+    assert len(got) == len(set(got)) and {(f"d{i:03}", f"d{j:03}") for i in range(120) for j in range(i + 1, 120)} == set(got)
+
+
+def test_pairs_within_runs():
+    key = np.array([1, 1, 1, 2, 3, 3, 9])
+    pairs = {(int(a), int(b)) for i, j in neardup.neighbours_in_runs(key) for a, b in zip(i, j)}
+    assert pairs == {(0, 1), (0, 2), (1, 2), (4, 5)}
+
+
+def test_classes_and_members_need_no_expansion(spark):
+    rows = [(f"h{i:03}", list("abcde"), None) for i in range(50)] + [("k", list("abcd"), None), ("z", list("pqrs"), None)]
+    pairs, members = setsim.similar_set_classes(spark.createDataFrame(rows, "id string, topics array<string>, people array<string>"), "id", ["topics", "people"])
+    of = {r.id: r.cid for r in members.collect()}
+    assert len(set(of.values())) == 3 and [{r.cid_a, r.cid_b} for r in pairs.collect()] == [{of["h000"], of["k"]}]
 
 
 def test_bitmap_bound_never_exceeds_the_difference():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     sets = [rng.integers(0, 50, rng.integers(1, 20)).astype(np.int64) for _ in range(60)]
     sets = [np.unique(s) for s in sets]
