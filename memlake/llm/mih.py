@@ -235,9 +235,20 @@ def nearest_neighbours(
     if not lengths:
         return records.sparkSession.createDataFrame([], f"id {kind}, neighbour_id {kind}")
     dims, total = lengths[0]["length"], lengths[0]["count"]
-    rows = rows.where(F.size("vec") == dims).withColumn("cid", F.xxhash64("vec"))
+    # The last bit of a class is free to say that several rows have its vector.
+    rows = rows.where(F.size("vec") == dims).withColumn("cid", F.xxhash64("vec").bitwiseAND(-2))
     base = materialize(rows.select("id", "cid"), "ids")
-    classes = rows.select("cid", "vec").dropDuplicates(["cid"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.ascontiguousarray(pack(vectors_of(batch.column(1), dims)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), binaries(codes)], names=["cid", "code"])
+
+    coded = rows.select("cid", "vec").mapInArrow(packed, "cid long, code binary")
+    classes = coded.groupBy("cid").agg(F.first("code").alias("code"), F.count(F.lit(1)).alias("n")).select(
+        F.col("cid").bitwiseOR((F.col("n") > 1).cast("long")).alias("cid"), "code"
+    )
 
     every = max(1, total // sample_rows)
     sampled = rows.where(F.pmod(F.xxhash64("cid"), F.lit(every)) == 0).select("cid", "vec").dropDuplicates(["cid"]).limit(sample_rows).toArrow()
@@ -251,16 +262,17 @@ def nearest_neighbours(
     if exact:
         index = Index(sample[:1], total, 1, rows_of_leaf, 1, SEED)
 
+    code_bytes = 3 * ((dims + 1) // 2)
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                codes = np.ascontiguousarray(pack(vectors_of(batch.column(1), dims)))
-                buckets, at = index.buckets(unpack(codes)[:, :dims], batch.column(0).to_numpy())
+                buckets, at = index.buckets(unpack(codes_of(batch.column(1), code_bytes))[:, :dims], batch.column(0).to_numpy() >> 1)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(buckets))
-                yield pa.RecordBatch.from_arrays([batch.column(0), binaries(codes), lists], names=["cid", "code", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["cid", "code", "buckets"])
 
     entries = classes.mapInArrow(placed, "cid long, code binary, buckets array<int>").select(F.explode("buckets").alias("bucket"), "cid", "code")
-    code_bytes, keep = 3 * ((dims + 1) // 2), max(KEEP, k + 1)
+    keep = max(KEEP, k + 1)
 
     def ranked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -294,57 +306,39 @@ def nearest_neighbours(
         if held:
             yield best_of(held, k)
 
-    neighbours = found.repartition("cid").sortWithinPartitions("cid").mapInArrow(merged, "cid long, other long, sim float")
-    return expand(base, classes, neighbours, k)
+    sorted_lists = found.repartition("cid").sortWithinPartitions("cid")
+    neighbours = materialize(sorted_lists.mapInArrow(merged, "cid long, other long, sim float, open boolean"), "neighbours")
+    return expand(base, settled(rows, neighbours), k)
+
+
+def settled(rows: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(cid, other, sim) with the exact cosine where the order was left open."""
+    vectors = rows.select("cid", "vec").dropDuplicates(["cid"])
+    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    exact = (
+        neighbours.where("open").select("cid", "other")
+        .join(vectors, "cid")
+        .join(vectors.select(F.col("cid").alias("other"), F.col("vec").alias("vec_other")), "other")
+        .select("cid", "other", F.round(cosine("vec", "vec_other") / F.sqrt(cosine("vec", "vec") * cosine("vec_other", "vec_other")), 9).alias("sim"))
+    )
+    return neighbours.where("NOT open").select("cid", "other", F.col("sim").cast("double")).union(exact)
 
 
-def expand(base: DataFrame, classes: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
-    """From classes and candidates to the ids in them, with what is left open at the k-th place ranked by the exact cosine."""
+def expand(base: DataFrame, neighbours: DataFrame, k: int) -> DataFrame:
+    """From classes to the ids in them."""
     ids = base.distinct()
     first = Window.partitionBy("cid").orderBy("id")
     small = ids.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("cid", "id")
-    others = neighbours.join(small.select(F.col("cid").alias("other"), F.col("id").alias("neighbour_id")), "other").select(
-        "cid", F.col("sim").cast("double").alias("sim"), "neighbour_id", "other"
-    )
-    own = small.select("cid", F.lit(2.0).alias("sim"), F.col("id").alias("neighbour_id"), F.col("cid").alias("other"))
+    others = neighbours.join(small.select(F.col("cid").alias("other"), F.col("id").alias("neighbour_id")), "other").select("cid", "sim", "neighbour_id")
+    own = small.select("cid", F.lit(2.0).alias("sim"), F.col("id").alias("neighbour_id"))
     lists = (
         others.union(own)
         .groupBy("cid")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "neighbour_id", "other"))).alias("found"))  # at most (k + 1) for each of the candidates
-        .select(
-            "cid",
-            F.transform(F.filter("found", lambda x: x["far"] < -1.5), lambda x: x["neighbour_id"]).alias("own"),
-            F.filter("found", lambda x: x["far"] > -1.5).alias("found"),
-        )
-        .withColumn("need", F.greatest(F.lit(0), k + 1 - F.size("own")))
-        .withColumn("last", F.when((F.col("need") > 0) & (F.size("found") > F.col("need")), F.expr("found[need - 1].far")))
-        .withColumn("sure", F.filter("found", lambda x: F.col("last").isNull() | (x["far"] < F.col("last") - 2 * ERROR)))
-        .withColumn("open", F.filter("found", lambda x: F.col("last").isNotNull() & (F.abs(x["far"] - F.col("last")) <= 2 * ERROR)))
-        .withColumn("take", F.col("need") - F.size("sure"))
+        .agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), "neighbour_id")).alias("found"))  # at most k + 1 for each candidate
+        .select("cid", F.transform(F.array_sort("found"), lambda x: x["neighbour_id"]).alias("found"))
     )
-    settled = F.col("last").isNull() | (F.size("open") <= F.col("take"))
-    certain = lists.select(
-        "cid",
-        F.concat(
-            "own",
-            F.transform(F.slice(F.col("sure"), F.lit(1), F.col("need")), lambda x: x["neighbour_id"]),
-            F.when(settled, F.transform("open", lambda x: x["neighbour_id"])).otherwise(F.array()),
-        ).alias("certain"),
-    )
-    pairs = lists.where(~settled).select("cid", "take", F.explode("open").alias("o")).select("cid", "take", "o.other", "o.neighbour_id")
-    cosine = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    far = -F.round(cosine("vec", "vec_other") / (F.sqrt(cosine("vec", "vec")) * F.sqrt(cosine("vec_other", "vec_other"))), 9)
-    closer = (
-        pairs.join(classes, "cid")
-        .join(classes.select(F.col("cid").alias("other"), F.col("vec").alias("vec_other")), "other")
-        .select("cid", "take", F.struct(far.alias("far"), "neighbour_id").alias("o"))
-        .groupBy("cid")
-        .agg(F.array_sort(F.collect_list("o")).alias("o"), F.max("take").alias("take"))
-        .select("cid", F.transform(F.slice(F.col("o"), F.lit(1), F.col("take")), lambda x: x["neighbour_id"]).alias("closer"))
-    )
-    given = certain.join(closer, "cid", "left").select("cid", F.concat("certain", F.coalesce("closer", F.array())).alias("found"))
     return (
-        ids.join(given, "cid")
+        ids.join(lists, "cid")
         .select("id", F.slice(F.array_remove(F.col("found"), F.col("id")), 1, k).alias("found"))
         .select("id", F.explode("found").alias("neighbour_id"))
     )
@@ -384,4 +378,13 @@ def best_of(batches: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
     sizes = np.diff(np.r_[starts, len(q)])
     last = np.repeat(s[np.minimum(starts + k, starts + sizes) - 1], sizes) if len(q) else s
     keep = s >= last - 2 * ERROR
-    return pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(n[keep]), pa.array(s[keep])], names=["cid", "other", "sim"])
+    q, n, s, last = q[keep], n[keep], s[keep], last[keep]
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.r_[starts, len(q)])
+    more = np.repeat(sizes > k, sizes)
+    # Copies move the k-th place, so that with them every close order is open.
+    copies = np.repeat(np.add.reduceat((q | n) & 1, starts) > 0, sizes) if len(q) else more
+    close = np.r_[(q[1:] == q[:-1]) & (s[:-1] - s[1:] <= 2 * ERROR), False] if len(q) else more
+    is_open = np.where(copies, close | np.r_[False, close[:-1]][: len(close)], more & (np.abs(s - last) <= 2 * ERROR))
+    columns = [pa.array(q & -2), pa.array(n & -2), pa.array(s), pa.array(is_open.astype(bool))]
+    return pa.RecordBatch.from_arrays(columns, names=["cid", "other", "sim", "open"])
