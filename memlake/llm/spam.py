@@ -1,17 +1,16 @@
 """Problem 9: keyword-stuffed and link-list pages.
 
-Method: shares of a text's words are thresholded. The text is cut into lines and those into
+Method: shares of a text's words are thresholded, with thresholds calibrated for each language on the whole corpus. The corpus is read
+twice. The first pass takes the share of function words of each text (outside of links and tags) and its language, guessed from
+the function words themselves, as the column is often wrong; the median of each language is its usual share, one row a language. The second pass
+weighs the texts whose share lies below FUNCTION_PART of the usual one; all others are sentences. They are cut into lines and those into
 clauses, and every clause is weighed on its own: words in links and link labels, hashtags, product lines
 (an article number and a price), lists of short items held together by separators (separator density),
 repeated lines, and clauses at least half of whose words are top words or parts of repeated n-grams of
 the text. Top words are those that are frequent each by itself, and, where the repeated words and the 2- and
-3-grams jointly make up half of the text, all of them. A clause that has the function words of a sentence in its language is
-a sentence unless it is stuffed. A text is reported when at least min_share of its words stand outside
-sentences in such clauses, it has at least min_words words, and its share of function words lies below
-a part of the median that its language has over the whole corpus.
-
-The language is guessed from the function words themselves, as the column is often wrong; the
-medians are one aggregate with a row for each language.
+3-grams jointly make up half of the text, all of them. A clause that has the function words of a sentence (CLAUSE_PART of the usual
+share) is a sentence even if it repeats words, and one with LIST_PART of them is no list. A text is reported when at least min_share
+of its words stand outside sentences in such clauses and it has at least min_words words.
 
 Defined results: null, empty, blank and short texts are not reported; very long texts are read whole;
 rows that repeat an id are reported once if one of them qualifies; rows with a null id take no part.
@@ -23,15 +22,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.session import materialize, spread
+from memlake.session import spread
 
-MIN_SHARE, MIN_WORDS, FUNCTION_PART = 0.75, 20, 0.6
+MIN_SHARE, MIN_WORDS = 0.75, 20
+#: Parts of a language's usual share of function words: of a text to be weighed, of a stuffed clause and of a list.
+FUNCTION_PART, CLAUSE_PART, LIST_PART = 0.6, 1.1, 0.33
+#: Usual share where no text of a language is known.
+USUAL = 0.3
 #: From which count a word or an n-gram is repeated, and the part of a text's words that all of them must make up together.
 WORD_REPEATS, GRAM_REPEATS, JOINT_SHARE = 4, 3, 0.5
+#: Part of a text in repeated n-grams that prose doesn't reach in any language.
+GRAM_SHARE = 0.35
 #: Prose of n words has about n ** 0.85 different ones in any language.
 VOCABULARY = 0.7
 
@@ -42,22 +48,17 @@ FUNCTION_WORDS = {
     "fr": "le la les de des du et que en il elle est une un dans avant si sur à au aux pour pas ne se ce cette qui nous vous avec sans sinon mais plus tant depuis côté a ont sont été chez l d n s qu c",
     "es": "el los las y del una un que no por con se para su más mientras en de la es al lo como pero sin sobre entre antes después según aunque si ya sigue siga quién desde sus esta este deja",
 }
-#: Words that advertise, in the same languages; those of phrases such as "near me" count only within them.
-SELLING = {
-    "buy", "cheap", "best", "top", "free", "deal", "deals", "discount", "online", "review", "sale", "shop", "offer", "price",
-    "kaufen", "billig", "günstig", "beste", "bester", "gratis", "angebot", "rabatt", "nähe", "kostenlos", "kaufe",
-    "acheter", "cher", "meilleur", "gratuit", "promo", "remise", "ligne", "avis", "offre",
-    "comprar", "barato", "mejor", "oferta", "descuento", "línea", "opiniones", "cerca",
-}
 _FUNCTION = {word: {lang for lang, words in FUNCTION_WORDS.items() if word in words.split()} for words in FUNCTION_WORDS.values() for word in words.split()}
 
-PHRASES = ("near me", "pas cher", "en ligne", "en línea", "in der nähe", "cerca de mí")
+LANGUAGES = tuple(FUNCTION_WORDS)
+_CODE = {word: sum(1 << i for i, lang in enumerate(LANGUAGES) if lang in langs) for word, langs in _FUNCTION.items()}
 
 WORD = re.compile(r"[^\W_]+")
 LINK = re.compile(r"(?:https?://|www\.)[^\s<>()\]|,;]+", re.I)
 MARKED_LINK = re.compile(r"\[([^\]\n]{0,80})\]\(\s*[^)\s]+\s*\)")
 TAG = re.compile(r"(?:^|(?<=[\s,;|]))#[^\W\d_][\w-]*")
 PRODUCT = re.compile(r"(?=.*\b[A-Z]{2,}[A-Z0-9]*-\d+\b)(?=.*(?<![\d.,])\d+[.,]\d\d\b(?![.,]\d))")
+MARKUP = re.compile(r"<[^<>]*>|(?:https?://|www\.)[^\s<>()\]|,;]+", re.I)
 CLAUSE = re.compile(r"(?<=[.!?])\s+")
 SEPARATOR = re.compile(r"\s*[,;|/•·]\s+|\s+[,;|/•·]\s*|[;,|]")
 CODE = re.compile(r"^\s*(?:def |return\b|class |import |from \w+ import|for \w+ in |if .*:$|[{}\[\]();]+$|```|\$ |>>> )|[=(]\w*\)?:?\s*$|\w\(.*\)\s*[:;]?\s*$")
@@ -105,27 +106,34 @@ def repetition(words: list[str], counts: Counter) -> tuple[set[str], set[tuple[s
     grams = {g for g, c in seen.items() if c >= GRAM_REPEATS}
     repeated = {w for w in often if counts[w] >= WORD_REPEATS}
     known = repeated | {w for g in grams for w in (g[0], g[-1])}
-    few = 2 * len(known) >= len(counts) or len(counts) <= n**VOCABULARY
+    few = 2 * len(known) >= len(counts) or len(counts) <= n**VOCABULARY or sum(within(stems, set(), grams)) >= GRAM_SHARE * n
     return (repeated, grams) if few and sum(within(stems, repeated, grams)) >= JOINT_SHARE * n else (set(), set())
 
 
-def weigh(text: str) -> tuple[int, float, float, str]:
-    """Words, share of words in spam clauses, share of function words, and the language."""
+def profile(text: str) -> tuple[int, float, str]:
+    """Words, share of function words outside of links and tags, and the language whose they are."""
+    lower = text.lower()
+    n = len(WORD.findall(lower))
+    if "<" in lower or "www." in lower or "://" in lower:
+        lower = MARKUP.sub(" ", lower)
+    seen = Counter(map(_CODE.get, WORD.findall(lower)))
+    votes = [sum(c for code, c in seen.items() if code and code >> i & 1) for i in range(len(LANGUAGES))]
+    most = max(votes)
+    return n, most / n if n else 0.0, LANGUAGES[votes.index(most)] if most else "und"
+
+
+def weigh(text: str, usual: float = USUAL) -> float:
+    """Share of the words that stand in spam clauses."""
     words = [w.lower() for w in WORD.findall(text)]
     n = len(words)
     if not n:
-        return 0, 0.0, 0.0, "und"
-    votes = Counter(lang for w in words for lang in _FUNCTION.get(w, ()))
-    lang = votes.most_common(1)[0][0] if votes else "und"
-    function = sum(lang in _FUNCTION.get(w, ()) for w in words)
-    counts = Counter(stem(w) for w in words if not w.isdigit())
-    often = max(4, 0.03 * n)
+        return 0.0
+    # What repeats is judged outside of links, whose words count by themselves.
+    outside = [w.lower() for w in WORD.findall(MARKUP.sub(" ", text))]
+    counts = Counter(stem(w) for w in outside if not w.isdigit())
+    often = max(4, 0.03 * len(outside))
     heavy = {w for w, c in counts.items() if c >= often and w not in _FUNCTION}
-    if sum(w in SELLING for w in words) >= max(3, 0.06 * n):
-        heavy |= SELLING
-        lower = text.lower()
-        heavy |= {w for phrase in PHRASES if phrase in lower for w in phrase.split()}
-    repeated, grams = repetition(words, counts)
+    repeated, grams = repetition(outside, counts)
     lines = [line for line in text.split("\n") if line.strip()]
     seen = Counter(line.strip().lower() for line in lines)
     spam = 0
@@ -169,31 +177,24 @@ def weigh(text: str) -> tuple[int, float, float, str]:
                 stuffed = sum(stem(w) in heavy or w in heavy for w in own)
                 grammar = sum(w in _FUNCTION and w not in heavy for w in own)
             items = [x for x in SEPARATOR.split(clause) if x.strip()]
-            if (stuffed >= 0.5 * m and grammar <= 0.34 * m) or (seen[line.strip().lower()] >= 3 and grammar == 0 and not (m == 1 and own[0].isdigit())):
+            if (stuffed >= 0.5 * m and grammar <= CLAUSE_PART * usual * m) or (seen[line.strip().lower()] >= 3 and grammar == 0 and not (m == 1 and own[0].isdigit())):
                 spam += m
-            elif len(items) >= 5 and m <= 3 * len(items) and grammar <= 0.1 * m and sum(w.isdigit() for w in own) <= 0.2 * m:
+            elif len(items) >= 5 and m <= 3 * len(items) and grammar <= LIST_PART * usual * m and sum(w.isdigit() for w in own) <= 0.2 * m:
                 spam += m
-    return n, spam / n, function / n, lang
+    return spam / n
 
 
-def weights(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(key, words, spam, function, lang) for each text."""
+def profiles(documents: DataFrame, text_column: str) -> DataFrame:
+    """(words, function, lang) of each text."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [weigh(t) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            kinds = (pa.int32(), pa.float64(), pa.float64(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, type=k) for c, k in zip(columns, kinds)]], names=["key", "words", "spam", "function", "lang"]
-            )
+            rows = [profile(t) for t in batch.column(0).to_pylist()]
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            kinds = (pa.int32(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["words", "function", "lang"])
 
-    kind = documents.schema[id_column].dataType.simpleString()
-    return (
-        spread(documents).where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull())
-        .select(F.col(id_column), F.col(text_column))
-        .mapInArrow(measure, f"key {kind}, words int, spam double, function double, lang string")
-    )
+    return spread(documents.where(F.col(text_column).isNotNull()).select(text_column)).mapInArrow(measure, "words int, function double, lang string")
 
 
 def stuffed_pages(
@@ -205,12 +206,18 @@ def stuffed_pages(
     function_part: float = FUNCTION_PART,
 ) -> DataFrame:
     """(doc_id) of the pages made of keywords, links, tags or products instead of sentences."""
-    measured = materialize(weights(documents, id_column, text_column), "weights")
-    usual = measured.where(F.col("words") >= min_words).groupBy("lang").agg(F.percentile_approx("function", 0.5).alias("usual"))
-    return (
-        measured.where((F.col("words") >= min_words) & (F.col("spam") >= min_share))
-        .join(usual, "lang")
-        .where((F.col("function") <= function_part * F.col("usual")) | (F.col("lang") == "und"))
-        .select(F.col("key").alias(id_column))
-        .distinct()
-    )
+    medians = profiles(documents, text_column).where(F.col("words") >= min_words).groupBy("lang").agg(F.percentile_approx("function", 0.5).alias("usual"))
+    usual = {r["lang"]: r["usual"] for r in medians.collect()}  # a row for each language at most
+    kind = documents.schema[id_column].dataType.simpleString()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                n, function, lang = profile(text)
+                if n >= min_words and (lang == "und" or function <= function_part * usual.get(lang, USUAL)):
+                    keep[i] = weigh(text, USUAL if lang == "und" else usual.get(lang, USUAL)) >= min_share
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=[id_column]).filter(pa.array(keep))
+
+    rows = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(id_column, text_column)
+    return spread(rows).mapInArrow(judge, f"`{id_column}` {kind}").distinct()
