@@ -37,7 +37,7 @@ from memlake.session import materialize, spread
 
 #: Bound of the sample on which rotations and cuts are learned. A leaf holds LEAST of its rows at least, so beyond about 10 ** 9 rows it should grow.
 SAMPLE, LEAST = 20_000, 4
-TABLES, PROBES, LEAF, GROWTH, MAX_BITS, SPLIT, SEED = 3, 2, 200, 0.3, 32, 3, 5
+TABLES, PROBES, LEAF, GROWTH, MAX_BITS, SPLIT, SEED = 4, 2, 200, 0.3, 32, 3, 5
 #: Most that two packed vectors' cosine differs from the given vectors', and how many of a bucket's best are looked at for ties.
 ERROR, KEEP = 4e-4, 10
 #: A found neighbour: its class, and its cosine from -1 to 1 in 65535 steps.
