@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.names import GIVEN, KINDS, SHORT, fold
-from memlake.llm.pii_table import STREETS, labelled_table
+from memlake.llm.names import GIVEN, SHORT, fold
+from memlake.llm.pii_table import LABELS as ID_LABELS
+from memlake.llm.pii_table import STREETS, labelled_table, lexicon
 from memlake.session import spread
 
 KINDS_OF = ("email", "phone", "identity_number", "address", "name")
@@ -45,23 +46,24 @@ EMAIL = re.compile(
     r"[\w.+%-]+(?:@|\s?[\[(]\s?at\s?[\])]\s?)[\w-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\w-]+)+|[\w.+-]+ at [\w-]+(?: dot [\w-]+)+", re.I
 )
 ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]| at [\w-]+ dot ", re.I)
-#: How far around an anchor the pattern of addresses is tried.
-REACH = 320
+#: What follows an anchor as far as it can be a host, however long.
+HOST = re.compile(r"\s?[\w-]*(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?| dot )[\w-]+)*", re.I)
 STREET_WORDS = {s.lower().strip(".") for s in STREETS} | {"square", "row", "crescent", "parkway", "highway", "quay"}
 STREET_FIRST = {"rue", "calle", "avenida", "plaza", "paseo", "camino", "place", "allée", "chemin"}
 STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|platz|allee|ufer|damm)$")
 TLD = {"test", "invalid", "example", "com", "org", "net", "de", "fr", "es", "io", "co", "edu", "eu", "uk"}
+#: Words of the labels of identity numbers.
+LABEL_WORDS = {w.lower() for x in ID_LABELS for w in re.findall(r"[^\W\d_]+", x)} | {"no", "nr"}
 TITLES = {"dr", "prof", "mr", "mrs", "ms", "herr", "frau", "mme", "sr", "sra"}
 PARTICLES = {"van", "von", "der", "den", "de", "da", "di", "del", "la", "du", "des"}
 GIVENS = GIVEN | {s for _, xs in SHORT for s in xs.split()}
-KIND_WORDS = {x for xs in KINDS.values() for x in xs.split() if len(x) > 3}
 PUNCT = {c: i for i, c in enumerate(".,:@()[]-/+'<>;_’\"‑–#?!&")}
 
-SHAPES, CLASSES, CONJ = 48, 80, 1 << 14
+SHAPES, CLASSES, CONJ, HIDDEN = 48, 80, 1 << 14, 0.3
 
 
-def shape_of(token: str) -> tuple[int, int]:
-    """Shape, and the shape refined by the lists that the token stands in."""
+def shape_of(token: str, lower: frozenset[str], capital: frozenset[str]) -> tuple[int, int]:
+    """Shape, and the shape refined by the lists that the token stands in; lower and capital are the words of a vocabulary by case."""
     first = token[0]
     if first.isdigit():
         s = min(len(token), 9)
@@ -88,10 +90,10 @@ def shape_of(token: str) -> tuple[int, int]:
             return s, 50 + (s == 39)
         if STREET_END.search(low) and len(low) > 5:
             return s, 52
-        if low in KIND_WORDS and s in (38, 40):
-            return s, 53
         if low in TITLES:
             return s, 54
+    if low in LABEL_WORDS:
+        return s, 66
     if low in STREET_FIRST:
         return s, 55
     if low in PARTICLES:
@@ -100,6 +102,9 @@ def shape_of(token: str) -> tuple[int, int]:
         return s, 57
     if low in ("at", "dot"):
         return s, 58 + (low == "dot")
+    if len(token) > 1 and s in (38, 40):
+        # A capital on an ordinary word, on a word that is always written with one, or on neither.
+        return s, (60 if low in lower else 61 if low.capitalize() in capital else 62) + 3 * (s == 38)
     return s, s
 
 
@@ -118,6 +123,16 @@ def email_class(text: str) -> int:
     return 1 + written * 2 + (last in TLD)
 
 
+def around(text: str, start: int, end: int, least: int) -> tuple[int, int]:
+    """The run about an anchor that can belong to an address: its own word to the left, and to the right while words go on by dots or the word "dot"."""
+    lo = start
+    while lo > least and text[lo - 1].isspace() and start - lo < 2:
+        lo -= 1
+    while lo > least and (text[lo - 1].isalnum() or text[lo - 1] in "_.+%-"):
+        lo -= 1
+    return lo, HOST.match(text, end).end()
+
+
 class Tokens:
     """Tokens of a batch of texts, laid end to end with WINDOW empty tokens around each text."""
 
@@ -140,11 +155,13 @@ class Tokens:
         runs = [(*m.span(), *model.run_of(m.group())) for m in RUN.finditer(whole)]
         marks, done = [], 0
         for anchor in ANCHOR.finditer(whole):
-            lo = max(done, anchor.start() - REACH)
-            for m in EMAIL.finditer(whole[lo : anchor.end() + REACH]):
-                if lo + m.start() <= anchor.start() < lo + m.end():
-                    done = lo + m.end()
-                    marks.append((lo + m.start(), done, email_class(m.group())))
+            if anchor.start() < done:
+                continue
+            lo, hi = around(whole, anchor.start(), anchor.end(), done)
+            for m in EMAIL.finditer(whole, lo, hi):
+                if m.start() <= anchor.start() < m.end():
+                    done = m.end()
+                    marks.append((m.start(), done, email_class(m.group())))
                     break
         n = len(self.kind)
         self.run, self.rough, self.place, self.mark = (np.zeros(n, dtype=np.int64) for _ in range(4))
@@ -175,6 +192,7 @@ class Model:
     def __init__(self, words: list[str], signatures: list[str]):
         self.words = {w: i + 2 for i, w in enumerate(words)}
         self.signatures = {s: i + 1 for i, s in enumerate(signatures)}
+        self.lower, self.capital = lexicon()
         self.reset()
         w, r = len(words) + 2, len(signatures) + 1
         sizes = [w, SHAPES, CLASSES] * (2 * WINDOW + 1) + [r, ROUGH, 4, 32] * 3 + [4 * CLASSES] * 3 + [CONJ] * 6
@@ -195,7 +213,7 @@ class Model:
         self.reset()
 
     def type_of(self, token: str) -> int:
-        shape, refined = shape_of(token)
+        shape, refined = shape_of(token, self.lower, self.capital)
         row = (self.words.get(token.lower(), 1), shape, refined)
         if len(self.types) > 200_000:
             self.types = {}
@@ -210,9 +228,11 @@ class Model:
         signature, rough = run_shape(text)
         return self.signatures.get(signature, 0), rough
 
-    def columns(self, t: Tokens) -> Iterator[np.ndarray]:
-        """Index columns into the weights, in the order of the blocks; the first ones are those of the windows."""
+    def columns(self, t: Tokens, unknown: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """Index columns into the weights, in the order of the blocks; the first ones are those of the windows. Words of unknown tokens are hidden."""
         rows = np.array(self.type_rows)[t.kind]
+        if unknown is not None:
+            rows[unknown & (t.owner >= 0), 0] = 1
         block = iter(self.block)
         for offset in range(-WINDOW, WINDOW + 1):
             moved = shifted(rows, offset)
@@ -322,7 +342,9 @@ class Chunk:
     def __init__(self, model: Model, part: list[tuple[str, list[tuple[int, int, str]]]]):
         t = Tokens([x for x, _ in part], model)
         real = np.flatnonzero(t.owner >= 0)
-        self.index = np.stack(list(model.columns(t)), axis=1)[real]
+        # Words are hidden at random, so that shapes and their order have to carry the labels in sentences of other words.
+        hidden = np.random.Generator(np.random.PCG64(len(part[0][0]))).random(len(t.kind)) < HIDDEN
+        self.index = np.stack(list(model.columns(t, hidden)), axis=1)[real]
         self.gold = gold_labels(t, [s for _, s in part])[real]
         self.text = t.owner[real]
         self.size = np.bincount(self.text, minlength=len(part))
@@ -376,7 +398,7 @@ class Chunk:
         return np.add.reduceat(error[self.token_of], self.cuts, axis=0), expected - self.pair
 
 
-def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 14, chunk: int = 160, rate: float = 0.2, decay: float = 2e-3) -> Model:
+def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 12, chunk: int = 160, rate: float = 0.2, decay: float = 2e-3) -> Model:
     """Maximises the conditional log likelihood by gradient steps over chunks of the table, scaled for each weight."""
     counts: dict[str, int] = {}
     for text, spans in table:
@@ -415,7 +437,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 14,
 
 
 @lru_cache(maxsize=2)
-def default_model(copies: int = 24, seed: int = 7) -> Model:
+def default_model(copies: int = 10, seed: int = 7) -> Model:
     return train(labelled_table(copies, seed))
 
 
@@ -438,7 +460,8 @@ def find(texts: list[str], model: Model) -> list[tuple[int, str, int, int]]:
         else:
             out.append((text, kind, start, end))
         previous = i
-    return out
+    # By definition, numbers and addresses hold a digit.
+    return [f for f in out if f[1] in ("email", "name") or any(c.isdigit() for c in texts[f[0]][f[2] : f[3]])]
 
 
 def personal_information(records: DataFrame, id_column: str = "id", content_column: str = "content", model: Model | None = None) -> DataFrame:

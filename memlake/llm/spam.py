@@ -113,10 +113,11 @@ def repetition(words: list[str], counts: Counter) -> tuple[set[str], set[tuple[s
 def profile(text: str) -> tuple[int, float, str]:
     """Words, share of function words outside of links and tags, and the language whose they are."""
     lower = text.lower()
-    n = len(WORD.findall(lower))
+    words = WORD.findall(lower)
+    n = len(words)
     if "<" in lower or "www." in lower or "://" in lower:
-        lower = MARKUP.sub(" ", lower)
-    seen = Counter(map(_CODE.get, WORD.findall(lower)))
+        words = WORD.findall(MARKUP.sub(" ", lower))
+    seen = Counter(map(_CODE.get, words))
     votes = [sum(c for code, c in seen.items() if code and code >> i & 1) for i in range(len(LANGUAGES))]
     most = max(votes)
     return n, most / n if n else 0.0, LANGUAGES[votes.index(most)] if most else "und"
