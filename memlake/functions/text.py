@@ -117,21 +117,31 @@ def normalize_entity_name(name: Column) -> Column:
 
 def verdict(reply: Column) -> Column:
     """True for a reply that begins with YES, false for NO, null if it can't be read."""
-    flat = collapsed(reply)
-    word = F.upper(F.regexp_extract(flat, r"(?i)^[*_`\"'\s]*(?:answer\s*:\s*)?[*_`\"'\s]*(YES|NO)\b", 1))
-    return F.when(word == "YES", F.lit(True)).when(word == "NO", F.lit(False))
+    said = F.filter(F.regexp_extract_all(F.upper(reply), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: w != "ANSWER")
+    first = F.try_element_at(said, F.lit(1))
+    return F.when(first == "YES", F.lit(True)).when(first == "NO", F.lit(False))
+
+
+def reply_field(reply: Column, key: str, value: str) -> Column:
+    """What stands after a quoted key in text that may be JSON, JSON among other text, or the beginning of it; null if nothing does."""
+    return F.nullif(F.regexp_extract(F.element_at(F.split(reply, f'"{key}"', 2), -1), f"^[^\\w\"]*{value}", 1), F.lit(""))
 
 
 def relation_reply(reply: Column, allowed: tuple[str, ...]) -> Column:
-    """struct(relation, confidence, rationale, error) from a JSON reply, fenced or cut off in the middle."""
-    body = F.regexp_replace(F.regexp_replace(trimmed(reply), r"^```(?:json)?\s*", ""), r"\s*```\s*$", "")
-    whole = F.from_json(body, "relation string, confidence double, rationale string")
-    part = lambda pattern: F.nullif(F.regexp_extract(body, pattern, 1), F.lit(""))
-    complete = body.rlike(r"(?s)^\{.*\}$") & whole["relation"].isNotNull()
-    relation = F.lower(F.when(complete, whole["relation"]).otherwise(part(r'(?i)"relation"\s*:\s*"([a-z_]+)"')))
-    confidence = F.when(complete, F.coalesce(whole["confidence"], F.lit(0.0))).otherwise(part(r'"confidence"\s*:\s*([0-9]*\.?[0-9]+)').cast("double"))
-    cut = F.concat_ws(" ", part(r'"rationale"\s*:\s*"([^"]*)'), F.lit("[truncated]"))
-    rationale = F.when(complete, F.coalesce(trimmed(whole["rationale"]), F.lit(""))).otherwise(cut)
+    """struct(relation, confidence, rationale, error) from a reply that should be a JSON object.
+
+    The object is taken from its first brace to its last one. Where it can't be read as a whole (it was cut off), its fields are read one by one,
+    and the rationale is marked as cut.
+    """
+    said = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    whole = F.from_json(said, "relation string, confidence double, rationale string")
+    read = whole["relation"].isNotNull()
+    has = lambda key: reply.contains(f'"{key}"')
+    one = lambda key, value: F.when(has(key), reply_field(reply, key, value))
+    relation = F.lower(F.when(read, whole["relation"]).otherwise(one("relation", r'"(\w+)"')))
+    confidence = F.when(read, F.coalesce(whole["confidence"], F.lit(0.0))).otherwise(one("confidence", r"(\d*\.?\d+)").cast("double"))
+    cut = F.concat_ws(" ", one("rationale", r'"([^"]*)'), F.lit("[truncated]"))
+    rationale = F.when(read, F.coalesce(trimmed(whole["rationale"]), F.lit(""))).otherwise(cut)
     error = (
         F.when(relation.isNull() | confidence.isNull(), F.lit("unreadable"))
         .when(~relation.isin(*allowed), F.concat(F.lit("unknown relation: "), relation))

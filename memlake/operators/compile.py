@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.text import excerpt, topic_slug, topic_title
+from memlake.operators.ranges import numbered
 
 UNSORTED = "uncategorized"
 #: Entries of one document at most; a larger cluster is written in numbered parts.
@@ -33,17 +34,15 @@ def timeline(records: DataFrame) -> DataFrame:
     """(topic, id, day, line, place): every topic's records in order of their date, one line each."""
     lines = records.select("topics", "id", effective_date(F.col("date"), F.col("created_at")).alias("day"), excerpt(F.col("content")).alias("text"))
     rows = lines.select(F.explode(F.array_distinct("topics")).alias("topic"), "id", "day", "text").where(F.col("topic").isNotNull() & (F.col("topic") != ""))
-    order = Window.partitionBy("topic").orderBy("day", "id")
-    return rows.select(
-        "topic", "id", "day", F.concat(F.lit("- "), F.col("day"), F.lit(" — <m:"), F.col("id"), F.lit("> "), F.col("text")).alias("line"), F.row_number().over(order).alias("place")
-    )
+    line = F.concat(F.lit("- "), F.col("day"), F.lit(" — <m:"), F.col("id"), F.lit("> "), F.col("text"))
+    return numbered(rows.select("topic", "id", "day", line.alias("line")), ["topic"], ["day", "id"], "place")
 
 
 def documents(records: DataFrame, summarise=None, part_entries: int = PART_ENTRIES) -> DataFrame:
     """(topic, path, body): one document for each cluster, or for each part_entries of its entries: topic.md, topic-part-2.md, ...
 
-    `summarise(texts) -> text` is a plug-in; the default takes each record's first sentence. A cluster's entries are
-    sorted and numbered in one pass, which spills; only the entries of one part are held as a group.
+    `summarise(text) -> text` is a plug-in; the default takes each record's first sentence. Entries are numbered within
+    ranges of topic and day, so a topic of any size is spread; only the entries of one part are held as a group.
     """
     make = summarise or (lambda text: text.split(". ")[0].strip())
     rows = records.select(
@@ -56,8 +55,7 @@ def documents(records: DataFrame, summarise=None, part_entries: int = PART_ENTRI
             yield pdf[["topic", "day", "id", "entry"]]
 
     entries = rows.mapInPandas(section, "topic string, day string, id string, entry string")
-    place = F.row_number().over(Window.partitionBy("topic").orderBy("day", "id", "entry"))
-    parts = entries.withColumn("part", F.floor((place - 1) / part_entries).cast("long") + 1)
+    parts = numbered(entries, ["topic"], ["day", "id", "entry"], "place").withColumn("part", F.floor((F.col("place") - 1) / part_entries).cast("long") + 1)
     body = parts.groupBy("topic", "part").agg(F.array_sort(F.collect_list(F.struct("day", "id", "entry"))).alias("x"))
     number = F.when(F.col("part") > 1, F.concat(F.lit("-part-"), F.col("part").cast("string"))).otherwise(F.lit(""))
     slug = topic_slug(F.col("topic"))

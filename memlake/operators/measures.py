@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.operators.ranges import sum_before
+
 
 def safe(numerator: Column, denominator: Column) -> Column:
     return F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
@@ -24,6 +26,56 @@ def threshold_sweep(judged: DataFrame, thresholds: Sequence[float]) -> DataFrame
     return rows.withColumn("recall", safe(F.col("tp"), F.col("tp") + F.col("fn"))).withColumn("precision", safe(F.col("tp"), F.col("tp") + F.col("fp")))
 
 
+def label_confusion(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(actual, predicted, n) for each pair of labels, zero cells included, over (actual, predicted)."""
+    spark = pairs.sparkSession
+    grid = spark.createDataFrame([(a, p) for a in labels for p in labels], "actual string, predicted string")
+    return F.broadcast(grid).join(pairs.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n")), ["actual", "predicted"], "left").na.fill(0, ["n"])
+
+
+def label_scores(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(label, support, recall, precision) of each label; support counts all its rows, whatever was predicted."""
+    cells = label_confusion(pairs, labels)
+    actual = pairs.groupBy(F.col("actual").alias("label")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col("actual") == F.col("predicted")).alias("hit"))
+    predicted = cells.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("claimed"))
+    rows = predicted.join(actual, "label", "left").na.fill(0)
+    return rows.select("label", "support", safe(F.col("hit"), F.col("support")).alias("recall"), safe(F.col("hit"), F.col("claimed")).alias("precision"))
+
+
+def pass_rate(judged: DataFrame, threshold: float) -> DataFrame:
+    """One row: the share of judgments that a gate at the threshold lets through."""
+    return judged.agg(safe(F.count_if(F.col("probability") >= threshold), F.count(F.lit(1))).alias("pass_rate"))
+
+
+def cost_per_thousand(judged: DataFrame, cost: str) -> DataFrame:
+    """One row: dollars for a thousand judgments; 0 without any."""
+    return judged.agg((safe(F.sum(F.col(cost).cast("double")), F.count(F.lit(1))) * 1000).alias("cost_per_1k_usd"))
+
+
+def stage_judgments(records: DataFrame) -> DataFrame:
+    """(pair_id, probability, truth_pass, truth_relation, relation, confidence) to the samples of the three views.
+
+    gate: what stage 1 said of pairs whose verdict is known. fixed: stage 2 on every pair whose relation is known and that it
+    has seen. cascade: the same pairs as both stages decide together, `none` where stage 1 or a missing stage 2 stops them.
+    """
+    passed = F.col("probability") >= 0.5
+    gate, known = F.col("truth_pass").isNotNull(), F.col("truth_relation").isNotNull()
+    shape = lambda kind, when, actual, predicted, sure: F.when(
+        when, F.struct(F.lit(kind).alias("view"), actual.cast("string").alias("actual"), predicted.cast("string").alias("predicted"), sure.cast("double").alias("confidence"))
+    )
+    views = F.array_compact(F.array(
+        shape("gate", gate, F.col("truth_pass"), passed, F.greatest(F.col("probability"), 1 - F.col("probability"))),
+        shape("fixed", known & F.col("relation").isNotNull(), F.col("truth_relation"), F.col("relation"), F.col("confidence")),
+        shape("cascade", known, F.col("truth_relation"), F.when(passed & F.col("relation").isNotNull(), F.col("relation")).otherwise("none"), F.lit(None)),
+    ))
+    return records.select("pair_id", F.explode(views).alias("v")).select("pair_id", "v.*")
+
+
+def needs_second_stage(probability: Column, truth_relation: Column) -> Column:
+    """Whether stage 2 has to run: for the cascade if stage 1 passed, for the fixed view if the relation is known."""
+    return (probability >= 0.5) | truth_relation.isNotNull()
+
+
 def confusion(pairs: DataFrame) -> DataFrame:
     """(actual, predicted, n) with the actual label's recall and the predicted label's precision."""
     cells = pairs.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
@@ -65,13 +117,12 @@ def fit_temperature(judged: DataFrame, low: float = 0.25, high: float = 4.0, ste
 def roc_auc(judged: DataFrame) -> DataFrame:
     """One row: the chance that a positive outranks a negative, ties counting one half; null without one of the classes.
 
-    Rank sums over the distinct probabilities: counts are pre-aggregated, so the running
-    sum needs one row for each probability only.
+    Rank sums over the distinct probabilities: counts are pre-aggregated, and the negatives below each probability are
+    summed within ranges of it and carried over the ranges' totals.
     """
     by = judged.groupBy("probability").agg(F.count_if(F.col("truth")).alias("pos"), F.count_if(~F.col("truth")).alias("neg"))
-    below = Window.orderBy("probability").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    return by.select(won.alias("won"), "pos", "neg").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    won = F.col("pos") * (F.col("below") + F.col("neg") / 2)
+    return sum_before(by, "probability", "neg", "below").select(won.alias("won"), "pos", "neg").agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def nearest_rank(frame: DataFrame, column: str, percents: Sequence[int]) -> DataFrame:
@@ -83,5 +134,7 @@ def nearest_rank(frame: DataFrame, column: str, percents: Sequence[int]) -> Data
 def round_robin(frame: DataFrame, stratum: str, order: str, n: int) -> DataFrame:
     """The first row of each stratum, then the second ones, ...; strata by first appearance, n rows in all."""
     own = Window.partitionBy(stratum).orderBy(order)
-    placed = frame.withColumn("_turn", F.row_number().over(own)).withColumn("_first", F.min(order).over(Window.partitionBy(stratum)))
-    return placed.where(F.col("_turn") <= n).orderBy("_turn", "_first", order).limit(n).drop("_turn", "_first")
+    # The cut to n rows comes first, so that it is made before the shuffle; the strata's first rows are an aggregate of their own.
+    placed = frame.withColumn("_turn", F.row_number().over(own)).where(F.col("_turn") <= n)
+    firsts = frame.groupBy(stratum).agg(F.min(order).alias("_first")).withColumnRenamed(stratum, "_stratum")
+    return placed.join(firsts, F.col(stratum).eqNullSafe(F.col("_stratum"))).drop("_stratum").orderBy("_turn", "_first", order).limit(n).drop("_turn", "_first")

@@ -52,11 +52,13 @@ class Store:
         stream = fs.create(p, True)
         stream.write(bytearray(text.encode()))
         stream.close()
+        # Overwriting is part of the move, so that no moment has no file.
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         target, _ = self._file(path)
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(p, target):
-            raise OSError(f"can't move {beside} to {path}")
+        over = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(fs.makeQualified(p), fs.makeQualified(target), over)
 
     def version(self, table: str) -> int:
         text = self._read_text(f"{self.root}/{table}/CURRENT")
