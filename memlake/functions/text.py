@@ -115,6 +115,42 @@ def normalize_entity_name(name: Column) -> Column:
     return collapsed(F.lower(nfkc(name)))
 
 
+def body_text(text: Column) -> Column:
+    """A document without front matter, header lines and citation marks, white space collapsed: what is compared between two runs."""
+    body = F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n", "")
+    body = F.regexp_replace(body, r"(?m)^#{1,6}\s.*$", "")
+    return collapsed(F.regexp_replace(body, r"<m:[a-zA-Z0-9-]+>|\[m:[a-zA-Z0-9-]+\]", ""))
+
+
+def extraction_reply(reply: Column, types: tuple[str, ...]) -> Column:
+    """struct(matched, new_entities, dropped, clamped, error) from a JSON reply.
+
+    Entries without a name, a confidence or a known type are dropped and counted, confidences are clamped to [0, 1] and those counted; without both
+    lists the reply is an error.
+    """
+    entry = "array<struct<type: string, canonical_name: string, aliases: array<string>, confidence: double>>"
+    root = F.from_json(reply, f"matched {entry}, new_entities {entry}")
+    readable = root["matched"].isNotNull() & root["new_entities"].isNotNull()
+    named = lambda e: F.coalesce((e["canonical_name"] != "") & e["confidence"].isNotNull(), F.lit(False))
+    typed = lambda e: named(e) & F.coalesce(e["type"].isin(*types), F.lit(False))
+    within = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    matched, new = F.filter(root["matched"], named), F.filter(root["new_entities"], typed)
+    outside = lambda entries: F.size(F.filter(entries, lambda e: within(e["confidence"]) != e["confidence"]))
+    return F.struct(
+        F.transform(matched, lambda e: F.struct(e["canonical_name"].alias("canonical_name"), within(e["confidence"]).alias("confidence"))).alias("matched"),
+        F.transform(
+            new,
+            lambda e: F.struct(
+                e["type"].alias("type"), e["canonical_name"].alias("canonical_name"),
+                F.array_compact(F.coalesce(e["aliases"], F.array().cast("array<string>"))).alias("aliases"), within(e["confidence"]).alias("confidence"),
+            ),
+        ).alias("new_entities"),
+        (F.size(root["matched"]) - F.size(matched) + F.size(root["new_entities"]) - F.size(new)).alias("dropped"),
+        (outside(matched) + outside(new)).alias("clamped"),
+        F.when(~readable, F.lit("matched or new_entities is missing")).alias("error"),
+    )
+
+
 def verdict(reply: Column) -> Column:
     """True for a reply that begins with YES, false for NO, null if it can't be read."""
     said = F.filter(F.regexp_extract_all(F.upper(reply), F.lit(r"[\p{L}\p{N}]+"), 0), lambda w: w != "ANSWER")

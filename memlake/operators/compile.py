@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import excerpt, topic_slug, topic_title
 from memlake.operators.ranges import numbered
+from memlake.operators.report import edge_notes
+from memlake.session import materialize
 
 UNSORTED = "uncategorized"
 #: Entries of one document at most; a larger cluster is written in numbered parts.
@@ -65,6 +67,73 @@ def documents(records: DataFrame, summarise=None, part_entries: int = PART_ENTRI
     )
 
 
+def loaded(records: DataFrame, edges: DataFrame, scope: str, tier: str | None = None, topic: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Unarchived records of one scope (and tier, and topic), and the edges that touch them with the record they belong to (memory_id):
+    the one that they come from if it was loaded, else the one that they lead to."""
+    rows = records.where((F.col("type") != "archived") & (F.col("project_scope") == scope))
+    if tier is not None:
+        rows = rows.where(F.col("tier") == tier)
+    if topic is not None:
+        rows = rows.where(F.array_contains("topics", topic))
+    ids = rows.select("id")
+    there = lambda end: edges.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    starts = there("from_memory_id").withColumn("memory_id", F.col("from_memory_id"))
+    rest = there("to_memory_id").join(ids.withColumnRenamed("id", "from_memory_id"), "from_memory_id", "left_anti").withColumn("memory_id", F.col("to_memory_id"))
+    return rows, starts.unionByName(rest)
+
+
+def tier_documents(records: DataFrame, edges: DataFrame, summarise=None, tiers: tuple[str, ...] = ("preferences", "project-context", "conversations")) -> DataFrame:
+    """(tier, section, topic, place, body): a section for each cluster of a tier in the order of a reader's alphabet, with notes on relations within it."""
+    make = summarise or (lambda text: text.split(". ")[0].strip())
+    members = records.where(F.col("tier").isin(*tiers)).select("tier", primary_topic(F.col("topics")).alias("topic"), "id", "content").where(F.col("content").isNotNull())
+
+    def said(batches):
+        for pdf in batches:
+            pdf["line"] = [make(c) for c in pdf["content"]]
+            yield pdf[["tier", "topic", "id", "line"]]
+
+    lines = members.mapInPandas(said, "tier string, topic string, id string, line string")
+    placed = numbered(lines, ["tier", "topic"], ["id"], "n").withColumn("part", F.floor((F.col("n") - 1) / PART_ENTRIES).cast("long") + 1)
+    bodies = placed.groupBy("tier", "topic", "part").agg(F.array_sort(F.collect_list(F.struct("n", "id", "line"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda e: F.concat(e["line"], F.lit(" <m:"), e["id"], F.lit(">"))), "\n")
+    notes = edge_notes(edges, members.select(F.concat_ws("\u0001", "tier", "topic").alias("topic"), "id")).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("notes"), F.array_join(F.slice(F.array_sort(F.collect_set("note")), 1, PART_ENTRIES), "\n").alias("history")
+    )
+    rows = bodies.withColumn("key", F.concat_ws("\u0001", "tier", "topic")).join(notes.withColumnRenamed("topic", "key"), "key", "left")
+    history = F.when((F.col("part") == 1) & F.col("history").isNotNull(), F.concat(F.lit("\n\n"), F.col("history"))).otherwise("")
+    place = F.row_number().over(Window.partitionBy("tier").orderBy(F.expr("topic COLLATE UNICODE"), "topic", "part"))  # a row for each section
+    return rows.select("tier", topic_title(F.col("topic")).alias("section"), "topic", place.alias("place"), F.concat(text, history).alias("body"))
+
+
+def compile_run(records: DataFrame, edges: DataFrame, previous: DataFrame, tier: str | None = None, topic: str | None = None, everything: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, manifest, stale paths) of one run over exactly one of a tier, a topic and everything.
+
+    previous is the manifest (topic, path) of the last run; entries outside of what the run touches stay, paths within it that no document has any more are stale.
+    """
+    if (tier is not None) + (topic is not None) + bool(everything) != 1:
+        raise ValueError("exactly one of a tier, a topic and everything")
+    rows = records.where("type <> 'archived'")
+    spark = records.sparkSession
+    parts = []
+    if everything or tier is not None:
+        sections = tier_documents(rows if tier is None else rows.where(F.col("tier") == tier), edges)
+        parts.append(sections.select(F.concat(F.lit("tier:"), "tier").alias("topic"), F.concat("tier", F.lit(".md"), F.lit("#"), F.col("place").cast("string")).alias("path"), "body"))
+    if everything:
+        parts.append(documents(rows))
+    if topic is not None:
+        parts.append(documents(rows.where(primary_topic(F.col("topics")) == topic)))
+    made = parts[0]
+    for p in parts[1:]:
+        made = made.unionByName(p)
+    made = materialize(made, "documents")
+    current = made.select("topic", "path")
+    if everything:
+        touched = current.select("topic").union(previous.select("topic")).distinct()
+    else:
+        touched = spark.createDataFrame([(f"tier:{tier}" if tier is not None else topic,)], "topic string")
+    return made, merged_manifest(previous.select("topic", "path"), current, touched), stale_paths(previous, current, touched)
+
+
 def stale_paths(previous: DataFrame, current: DataFrame, touched: DataFrame) -> DataFrame:
     """(path) of the previous manifest, among the touched topics, that no current document has."""
     return previous.join(touched.select("topic").distinct(), "topic", "left_semi").join(current.select("path"), "path", "left_anti").select("path")
@@ -75,4 +144,4 @@ def merged_manifest(previous: DataFrame, current: DataFrame, touched: DataFrame)
     return current.unionByName(previous.join(touched.select("topic").distinct(), "topic", "left_anti"))
 
 
-__all__ = ["clusters", "documents", "effective_date", "merged_manifest", "primary_topic", "stale_paths", "timeline"]
+__all__ = ["clusters", "compile_run", "loaded", "tier_documents", "documents", "effective_date", "merged_manifest", "primary_topic", "stale_paths", "timeline"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.operators.edges import clean_edges, shared_topic_bags, valid, with_ends
@@ -75,6 +75,27 @@ def lint(records: DataFrame, raw_edges: DataFrame, as_of: Column) -> DataFrame:
     return out
 
 
+def ordered(findings: DataFrame, records: DataFrame, limit: int = 100) -> DataFrame:
+    """The first `limit` findings of each check with their place: contradictions by confidence, stale rows and orphans the oldest first,
+    drift by shared topics and then the newest, unflagged versions by the widest gap; ties by the ids."""
+    empty = F.array().cast("array<string>")
+    end = lambda key, s: records.select(F.col("id").alias(key), F.unix_micros("created_at").alias(f"at_{s}"), F.coalesce("topics", empty).alias(f"topics_{s}"))
+    both = findings.join(end("memory_id", "a"), "memory_id", "left").join(end("other_id", "b"), "other_id", "left")
+    shared = F.size(F.filter("topics_a", lambda t: F.coalesce(F.array_contains("topics_b", t), F.lit(False))))
+    late = F.lit(2**62)
+    keys = {
+        "contradictions": (-F.col("confidence") * 1_000_000, F.lit(0)),
+        "stale": (F.coalesce("at_a", late), F.lit(0)),
+        "orphans": (F.coalesce("at_a", late), F.lit(0)),
+        "drift": (-shared, -F.coalesce("at_a", -late)),
+        "superseded_unflagged": (-(F.col("at_b") - F.col("at_a")), F.lit(0)),
+    }
+    first, second = (F.coalesce(*[F.when(F.col("check") == c, k[i].cast("long")) for c, k in keys.items()]) for i in (0, 1))
+    order = Window.partitionBy("check").orderBy("_first", "_second", "memory_id", F.asc_nulls_first("other_id"))
+    placed = both.withColumn("_first", first).withColumn("_second", second).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return placed.select("check", "memory_id", "other_id", "confidence", "action", "place")
+
+
 def summary(findings: DataFrame) -> DataFrame:
     """(check, findings, fixable) with a row for each check."""
     row = findings.groupBy("check").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("confidence") >= FIX_AT).alias("fixable"))

@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from memlake.functions.text import estimate_tokens, terms, word_set
-from memlake.operators.filters import active, in_scopes
-from memlake.session import spread
+from memlake.functions.text import estimate_tokens, lexemes, terms, word_set
+from memlake.operators.edges import signals
+from memlake.operators.entities import links_of
+from memlake.operators.filters import active, in_scopes, matches_all, not_rejected, overlaps, within
+from memlake.session import materialize, spread
+from memlake.sources.store import NEAR_SCORE, planned_operation
 
 MAX_QUERIES = 10_000
 TIER_WEIGHT = {"preferences": 1.3, "project-context": 1.0, "conversations": 0.8}
@@ -258,3 +261,76 @@ def recall(records: DataFrame, queries: DataFrame, k: int = 10, max_tokens: int
     return ranked.where(F.col("position") <= k).select("query_id", "id", "score", "match_type", "position") if max_tokens is None else ranked.select(
         "query_id", "id", "score", "match_type", "position"
     )
+
+
+def search_mode(records: DataFrame, has_vector: bool, scopes: Sequence[str] | None = None) -> str:
+    """'semantic' if the query has a vector and any record of the scopes has one, else 'fulltext_only'; tiers and types don't count."""
+    if not has_vector:
+        return "fulltext_only"
+    return "fulltext_only" if records.where(in_scopes(scopes) & F.col("embedding").isNotNull()).limit(1).isEmpty() else "semantic"
+
+
+def compacted(answers: DataFrame) -> DataFrame:
+    """Answers as they leave: scores to three decimals, halves up, no creation time, empty people and false marks left out (null)."""
+    out = answers.withColumn("score", F.floor(F.col("score") * 1000 + 0.5) / 1000)
+    if "people" in out.columns:
+        out = out.withColumn("people", F.when(F.size("people") > 0, F.col("people")))
+    if "early_stopped" in out.columns:
+        out = out.withColumn("early_stopped", F.when(F.col("early_stopped"), F.lit(True)))
+    return out.drop("created_at")
+
+
+def search(
+    records: DataFrame, text: str | None = None, kind: str | None = None, tier: str | None = None, topics: Sequence[str] | None = None, people: Sequence[str] | None = None,
+    since: str | None = None, until: str | None = None, scopes: Sequence[str] | None = None, limit: int = 20, mode: str = "english",
+) -> DataFrame:
+    """Records that meet all given filters, the newest first; a text matches by all of its terms. Rejections never show."""
+    met = not_rejected() & in_scopes(scopes) & within("created_at", since, until) & overlaps("topics", topics or None) & overlaps("people", people or None)
+    if kind is not None:
+        met = met & (F.col("type") == kind)
+    if tier is not None:
+        met = met & (F.col("tier") == tier)
+    rows = records.where(met)
+    if text is not None:
+        asked = records.sparkSession.range(1).select(lexemes(F.lit(text), mode).alias("q")).first()["q"]
+        rows = rows.where(matches_all(lexemes(F.col("content"), mode), F.array(*map(F.lit, asked)).cast("array<string>")))
+    return rows.orderBy(F.desc_nulls_first("created_at"), "id").limit(limit)
+
+
+def nearest_records(records: DataFrame, candidates: DataFrame, scopes: Sequence[str] | None = None, floor: float = NEAR_SCORE) -> DataFrame:
+    """(query_id, id, score): of the three best records of each candidate text (a query batch with column kind) the first above the floor, and what the candidate becomes."""
+    found = best(hybrid_search(records, candidates, k=3, scopes=scopes, min_score=floor).drop("rank"), 1, by="score").select("query_id", "id", "score")
+    rows = candidates.select("query_id", "kind").join(found, "query_id", "left")
+    return rows.withColumn("operation", planned_operation(F.col("score"), F.col("kind")))
+
+
+def answer(
+    records: DataFrame, edges: DataFrame, links: DataFrame, entities: DataFrame, queries: DataFrame, k: int = 10, max_tokens: int | None = None, min_score: float | None = None,
+    scopes: Sequence[str] | None = None, progressive: bool = False, entity_ids: DataFrame | None = None, mode: str = "english",
+) -> DataFrame:
+    """The whole answer to each query: (query_id, id, score, match_type, position, search_mode, signals, entities).
+
+    The mode is chosen once for the batch; with entity_ids only records linked with them are searched; progressive search goes tier after tier.
+    Then floor, tier weights, diversity and token budget, and for the answered records newer versions, contradictions and linked entities.
+    """
+    how = search_mode(records, not queries.where(F.col("query_vector").isNotNull()).limit(1).isEmpty(), scopes)
+    asked = queries if how == "semantic" else queries.withColumn("query_vector", F.lit(None).cast("array<double>"))
+    pool = records
+    if entity_ids is not None:
+        wanted = links.join(entity_ids.select("entity_id").distinct(), "entity_id", "left_semi").select(F.col("memory_id").alias("id")).distinct()
+        pool = records.join(wanted, "id", "left_semi")
+    least = min_score if min_score is not None else 0.0
+    if progressive:
+        candidates = progressive_search(pool, asked, k, scopes=scopes, mode=mode).where(F.col("raw_score") >= least)
+        picked = diversified(best(candidates.drop("rank"), max(3 * k, 30), by="score"), k if max_tokens is None else max(3 * k, 30))
+        ranked = picked.join(candidates.select("query_id", "id", "score", "match_type", "content"), ["query_id", "id"])
+        if max_tokens is not None:
+            ranked = within_budget(ranked, max_tokens, k, order="position")
+        rows = ranked.where(F.col("position") <= k if max_tokens is None else F.lit(True)).select("query_id", "id", "score", "match_type", "position")
+    else:
+        rows = recall(pool, asked, k, max_tokens, least, scopes, mode)
+    rows = materialize(rows, "answers")
+    told = signals(edges, rows).groupBy("memory_id").agg(F.array_sort(F.collect_set(F.struct("kind", "other_id"))).alias("signals"))
+    linked = links_of(rows, links, entities)
+    out = rows.join(told.withColumnRenamed("memory_id", "id"), "id", "left").join(linked, "id", "left")
+    return compacted(out.withColumn("search_mode", F.lit(how)))

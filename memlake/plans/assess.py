@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import estimate_tokens, levenshtein_ratio
 from memlake.operators import compile as compiled
-from memlake.operators import edges, measures
+from memlake.operators import edges, measures, sensitive
 from memlake.operators.sensitive import sensitive_reason
 from memlake.plans.base import EDGES_SQL, memories, query
 from memlake.sources.tables import table
@@ -105,9 +105,8 @@ def compiled_documents(spark, d):
     return compiled.documents(memories(spark, d).where("type <> 'archived'"))
 
 
-@query(r"""WITH r AS (SELECT id, list_filter(coalesce(topics, []), lambda t: list_contains(['health', 'cc-health', 'medication', 'medical', 'symptoms', 'wellbeing', 'finance', 'cc-finance', 'money', 'spending', 'budget', 'banking', 'tax', 'salary', 'insurance'], lower(t)))[1] AS t,
-        CASE WHEN regexp_matches(section, 'health|medical|finance|money|life context', 'i') THEN section END AS s,
-        nullif(lower(regexp_extract(content, '\b(symptoms?|medications?|medicine|prescri\w*|diagnos\w*|doctors?|GP|blood (test|sugar|pressure)|fasting|metformin|illness|sick|injur\w*|allerg\w*|salary|payslip|bank account|mortgage|loans?|credit card|tax return|superannuation|net worth|savings)\b', 0, 'i')), '') AS x FROM memories)
+@query(f"""WITH r AS (SELECT id, list_filter(coalesce(topics, []), lambda t: list_contains({list(sensitive.TOPICS)}, lower(t)))[1] AS t,
+        CASE WHEN regexp_matches(section, '{sensitive.SECTION}') THEN section END AS s, nullif(lower(regexp_extract(content, '{sensitive.TEXT}', 0)), '') AS x FROM memories)
     SELECT id, coalesce('topic:' || t, 'section:' || s, 'text:' || x) AS reason FROM r WHERE coalesce(t, s, x) IS NOT NULL""")
 def sensitive_filter(spark, d):
     rows = memories(spark, d).select("id", sensitive_reason(F.col("topics"), F.col("section"), F.col("content")).alias("reason"))

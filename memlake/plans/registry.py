@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.plans import assess, retrieval, upkeep, writes  # noqa: F401 - they register their queries
+from memlake.plans import assess, complete, retrieval, upkeep, writes  # noqa: F401 - they register their queries
 from memlake.plans.base import ORACLE as CORE_ORACLE
 from memlake.plans.base import QUERIES as CORE_QUERIES
 

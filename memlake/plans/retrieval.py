@@ -104,12 +104,27 @@ def mmr_k3(spark, d):
     return retrieve.diversified(retrieve.hybrid_search(memories(spark, d), query_batch(spark, d)), 3)
 
 
-@query()
+#: Every candidate's similarity to every other one of its query, and the picks one after another.
+PICKS_SQL = f"""c AS (SELECT query_id, id, score, match_type, content, e, list_distinct(list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda w: w <> '')) AS w FROM weighted),
+    sims AS (SELECT a.query_id, a.id AS a, b.id AS b, greatest(0, {_SIM}) AS sim FROM c a JOIN c b USING (query_id) WHERE a.id <> b.id),
+    picks AS (SELECT query_id, id, 1 AS position, [id] AS chosen FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) = 1
+        UNION ALL
+        SELECT query_id, id, position, chosen FROM (
+            SELECT query_id, id, position, list_append(chosen, id) AS chosen, row_number() OVER (PARTITION BY query_id ORDER BY round(0.7::DOUBLE * score - 0.3::DOUBLE * near, 9) DESC, score DESC, id) AS r
+            FROM (SELECT c.query_id, c.id, c.score, p.position + 1 AS position, p.chosen, max(s.sim) AS near FROM picks p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.chosen, c.id)
+                JOIN sims s ON s.query_id = c.query_id AND s.a = c.id AND list_contains(p.chosen, s.b) WHERE p.position < 30 GROUP BY ALL)) WHERE r = 1)"""
+RW = f"WITH RECURSIVE {RETRIEVAL_SQL}, {PICKS_SQL}"
+WORDS_SQL = "ceil(len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT"
+
+
+@query(f"{RW} SELECT query_id, id, position FROM picks WHERE position <= 10")
 def mmr_topk(spark, d):
     return retrieve.diversified(retrieve.hybrid_search(memories(spark, d), query_batch(spark, d)), 10)
 
 
-@query()
+@query(f"""{RW}, spent AS (SELECT p.query_id, p.id, c.score, c.match_type, p.position, sum({WORDS_SQL.format("c.content")}) OVER (PARTITION BY p.query_id ORDER BY p.position) AS used,
+        row_number() OVER (PARTITION BY p.query_id ORDER BY p.position) AS place FROM picks p JOIN c ON c.query_id = p.query_id AND c.id = p.id)
+    SELECT query_id, id, score, match_type, position FROM spent WHERE used <= 400 AND place <= 10""")
 def recall_full(spark, d):
     return retrieve.recall(memories(spark, d), query_batch(spark, d), k=10, max_tokens=400)
 

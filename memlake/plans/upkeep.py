@@ -176,16 +176,17 @@ def lint_fix_edges(spark, d):
     return lint.fixed_edges(edge_rows(spark, d), found).groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {EDGES_SQL}, incoming AS (SELECT from_memory_id, to_memory_id, relation, 0.99::DECIMAL(3,2) AS confidence FROM edges WHERE relation = 'supports'
-        UNION ALL SELECT from_memory_id, to_memory_id, 'supports', 0.99 FROM edges WHERE relation = 'depends_on')
-    SELECT e.from_memory_id, e.to_memory_id, e.relation, coalesce(i.confidence, e.confidence) AS confidence FROM edges e LEFT JOIN (SELECT DISTINCT * FROM incoming) i USING (from_memory_id, to_memory_id, relation)
-    UNION SELECT i.from_memory_id, i.to_memory_id, i.relation, i.confidence FROM incoming i ANTI JOIN edges e USING (from_memory_id, to_memory_id, relation)""")
+@query(f"""WITH {EDGES_SQL}, incoming AS (SELECT 'new-' || id AS id, created_at, from_memory_id, to_memory_id, relation, 0.99::DECIMAL(3,2) AS confidence FROM edges WHERE relation = 'supports'
+        UNION ALL SELECT 'new-' || id, created_at, from_memory_id, to_memory_id, 'supports', 0.99 FROM edges WHERE relation = 'depends_on')
+    SELECT e.id, e.created_at, e.from_memory_id, e.to_memory_id, e.relation, coalesce(i.confidence, e.confidence) AS confidence
+    FROM edges e LEFT JOIN (SELECT DISTINCT from_memory_id, to_memory_id, relation, confidence FROM incoming) i USING (from_memory_id, to_memory_id, relation)
+    UNION SELECT i.id, i.created_at, i.from_memory_id, i.to_memory_id, i.relation, i.confidence FROM incoming i ANTI JOIN edges e USING (from_memory_id, to_memory_id, relation)""")
 def edge_upsert(spark, d):
     rows = edge_rows(spark, d)
     surer = F.lit("0.99").cast("decimal(3,2)")
     incoming = rows.where("relation = 'supports'").unionByName(rows.where("relation = 'depends_on'").withColumn("relation", F.lit("supports")))
-    incoming = incoming.withColumn("confidence", surer).withColumn("updated_at", as_of())
-    return edges.upserted(rows, incoming).select("from_memory_id", "to_memory_id", "relation", "confidence")
+    incoming = incoming.withColumn("id", F.concat(F.lit("new-"), "id")).withColumn("confidence", surer).withColumn("updated_at", as_of())
+    return edges.upserted(rows, incoming).select("id", "created_at", "from_memory_id", "to_memory_id", "relation", "confidence")
 
 
 @query(f"""WITH {EDGES_SQL} SELECT e.id, e.from_memory_id, e.to_memory_id, e.relation FROM edges e JOIN memories a ON a.id = e.from_memory_id JOIN memories b ON b.id = e.to_memory_id
@@ -241,6 +242,7 @@ def clean_links(spark, d):
     return entities.clean_links(table(spark, d, "memory_entities")).select("memory_id", "entity_id", "confidence")
 
 
-@query("SELECT id, nfc_normalize(canonical_name) AS name FROM entities")
+# The signs that are added have forms of their own only in NFKC: a ligature, a wide letter, a number in a circle.
+@query("SELECT id, nfc_normalize(canonical_name) || ' fi A 1' AS name FROM entities")
 def nfkc_entities(spark, d):
-    return table(spark, d, "entities").select("id", nfkc(F.col("canonical_name")).alias("name"))
+    return table(spark, d, "entities").select("id", nfkc(F.concat("canonical_name", F.lit(" \ufb01 \uff21 \u2460"))).alias("name"))

@@ -18,6 +18,8 @@ from memlake.functions.text import fingerprint
 from memlake.session import spread
 
 SCHEMA_VERSION = 1
+#: Scores of the nearest record from which a text counts as the same, and as nearly the same (fixed values).
+SAME_SCORE, NEAR_SCORE = 0.92, 0.8
 TIERS = ("preferences", "project-context", "conversations")
 TYPES = ("preference", "decision", "context", "relationship", "observation", "rejection", "archived")
 
@@ -172,4 +174,4 @@ def rejected(records: DataFrame, reasons: DataFrame, now: Column) -> DataFrame:
 
 def planned_operation(score: Column, kind: Column) -> Column:
     """What to do with a text, by the similarity of its nearest record: leave it, update that record, or add it."""
-    return F.when(score >= 0.92, "NOOP").when(score >= 0.8, "UPDATE").when(kind == "rejection", "REJECTION").otherwise("ADD")
+    return F.when(score >= SAME_SCORE, "NOOP").when(score >= NEAR_SCORE, "UPDATE").when(kind == "rejection", "REJECTION").otherwise("ADD")
