@@ -13,8 +13,11 @@ that isn't full only if it isn't full itself and no full one will do:
   + both stand in one entities row            (evidence)
 
 and only to candidates that rank before it, so attachments form trees; the spellings below one root are one
-entity. Candidates are found by deletion neighbourhoods: two strings within two edits share a string
-from which at most two letters of each are deleted.
+entity. Candidates are found by deletion neighbourhoods: two strings within k edits share a string
+from which at most k letters of each are deleted; k is 2 from five letters and 3 from twelve on.
+
+The likelihoods are estimated from the spellings that stand together in rows of entities (how often a letter is wrong, a given name short, an
+initial, missing or another one); COSTS count as PRIOR observations more, so that small tables are not overruled by chance.
 
 Further given names and kinds of things are learned from names of two words by the place they stand in: a given name
 stands beside different family names, mostly in front of them. What is learned is a table of any size, joined with the spellings.
@@ -43,7 +46,10 @@ from memlake.session import materialize
 MAX_NAME_FORMS = 10_000
 #: A token is learned from so many different partners, with this part of them in its own place; one within a letter of a token with TYPO_PART times the partners is a typo of it.
 LEAST_PARTNERS, PLACE_SHARE, TYPO_PART = 3, 2 / 3, 4
-EDIT, MISSING_GIVEN, UNKNOWN_GIVEN, EVIDENCE, FLOOR = -3.5, -4.0, -6.0, 7.0, -13.0
+#: Log likelihoods of what happens to a form when it is typed again, before the tables are asked, and how many observations they count as.
+COSTS = {"edit": -3.5, "missing": -4.0, "unknown": -6.0, "initial": -2.0, "short": -1.5, "other_initial": -3.5}
+PRIOR = 200
+EVIDENCE, FLOOR = 7.0, -13.0
 
 #: Common given names, folded.
 GIVEN = set(
@@ -68,15 +74,12 @@ SHORT = (
     ("susanna", "susie sanna"), ("theodora", "teddy dolly"), ("thomas", "tomas"), ("timothy", "timmy"), ("victoria", "tori vic"),
     ("wilhelmina", "billie minnie"), ("william", "billy liam willy"),
 )
-#: Kinds of things, with their abbreviations.
+#: Legal forms and lines of business with their usual abbreviations; all other kinds of things are learned from the tables.
 KINDS = {
     "international": "international intl internl", "systems": "systems system sys", "ltd": "ltd limited", "manufacturing": "manufacturing mfg",
     "co": "co company", "brothers": "brothers bros", "partners": "partners", "laboratories": "laboratories laboratory labs lab", "inc": "inc incorporated",
     "research": "research rsch", "group": "group grp", "data": "data", "services": "services service svcs svc", "software": "software sw", "gmbh": "gmbh",
-    "engine": "engine", "compass": "compass", "atlas": "atlas", "ledger": "ledger", "archive": "archive", "canvas": "canvas", "register": "register",
-    "relay": "relay", "signal": "signal", "beacon": "beacon", "garden": "garden", "workshop": "workshop", "bridge": "bridge", "index": "index",
-    "mapper": "mapper", "watch": "watch", "queue": "queue", "probe": "probe", "router": "router", "vault": "vault", "parser": "parser",
-    "loader": "loader", "cache": "cache", "corp": "corp corporation", "consulting": "consulting", "solutions": "solutions", "holdings": "holdings",
+    "corp": "corp corporation", "consulting": "consulting", "solutions": "solutions", "holdings": "holdings",
 }
 #: Words that say nothing about which thing it is.
 FILLER = {"the", "project", "and", "team", "ltd", "co", "inc", "gmbh", "group", "partners", "services"}
@@ -122,7 +125,8 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 def allowed(length: int) -> int:
-    return 0 if length < 5 else 1 if length < 8 else 2 if length < 12 else 3
+    """Edits that a core of so many letters may have; neighbourhood() deletes as many."""
+    return 0 if length < 5 else 2 if length < 12 else 3
 
 
 def letters_left(word: str) -> set[str]:
@@ -131,9 +135,9 @@ def letters_left(word: str) -> set[str]:
 
 
 def neighbourhood(core: str) -> set[str]:
-    """The string with up to two of its letters deleted, fewer for short ones."""
+    """The string with as many of its letters deleted as edits are allowed: two strings within those edits share one of them."""
     out, last = {core}, {core}
-    for _ in range(min(2, allowed(len(core)))):
+    for _ in range(allowed(len(core))):
         last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
         out |= last
     return out
@@ -142,7 +146,8 @@ def neighbourhood(core: str) -> set[str]:
 class Reader:
     """Reads spellings into forms, with the bounded tables of names."""
 
-    def __init__(self, forms: list[tuple[str, str]], given: list[str], kinds: list[str]):
+    def __init__(self, forms: list[tuple[str, str]], given: list[str], kinds: list[str], costs: dict[str, float] | None = None):
+        self.costs = costs or COSTS
         self.given = set(GIVEN) | {fold(g) for g, _ in forms}
         self.long: dict[str, set[str]] = {}
         for full, short in [*((fold(a), fold(b)) for a, b in forms), *((a, x) for a, xs in SHORT for x in xs.split())]:
@@ -210,7 +215,7 @@ class Reader:
     def like_given(self, word: str) -> bool:
         return self.known(word) or bool(self.closest(word, self.near_given, 4, self.row_near_given))
 
-    def read(self, name: str) -> tuple[str, str, str, str, bool]:
+    def read(self, name: str, thing: bool = False) -> tuple[str, str, str, str, bool]:
         """sort ('person', 'thing' or 'other'), given name or initial, core, kind of thing or second part of a double family name, full."""
         text = unicodedata.normalize("NFKC", name).strip()
         text = NOTE.sub(" ", text).strip()
@@ -226,6 +231,11 @@ class Reader:
         if " " not in plain and "," not in plain and not self.known(words[-1]):
             words = [*words[:-1], *self.unjoin(words[-1])]
         named = [w for w in words if self.kind(w) or VERSION.match(w)]
+        if thing and not named:
+            # Known to be a thing by its rows, of a kind too rare to be learned: the last of several words.
+            plain_words = [w for w in words if w not in ("the", "project", "and", "team")] or words
+            kind = plain_words[-1] if len(plain_words) > 1 else ""
+            return "thing", "", "".join(plain_words[:-1] if kind else plain_words), kind, bool(kind)
         rest = [w for w in words if not self.kind(w) and not VERSION.match(w) and w not in ("the", "project", "and")]
         if (named or "project" in words) and rest and not ("," in text and len(rest) > 1 and not named):
             kinds = sorted({self.kind(w) for w in named if self.kind(w)} - FILLER)
@@ -309,18 +319,18 @@ class Reader:
         if v == c:
             return 0.0
         if not v:
-            return MISSING_GIVEN
+            return self.costs["missing"]
         if not c:
             return None
         bases_v, bases_c = self.long.get(v, {v}) | {v}, self.long.get(c, {c}) | {c}
         if len(v) == 1 or len(c) == 1:
             if v[0] == c[0]:
-                return -2.0
+                return self.costs["initial"]
             a, b = (v, c) if len(v) == 1 else (c, v)
             shorts = {s for s, fulls in self.long.items() if fulls & (self.long.get(b, set()) | {b})}
-            return -3.5 if any(s[0] == a for s in shorts | self.long.get(b, set())) else None
+            return self.costs["other_initial"] if any(s[0] == a for s in shorts | self.long.get(b, set())) else None
         if bases_v & bases_c:
-            return -1.5
+            return self.costs["short"]
         if self.is_given(v) and self.is_given(c):
             return None
         best = None
@@ -328,17 +338,17 @@ class Reader:
             for y in bases_c:
                 n = edits(x, y, 2)
                 if n == 1 or (n == 2 and min(len(x), len(y)) >= 6):
-                    cost = n * EDIT - (0 if (x, y) == (v, c) else 1.5)
+                    cost = n * self.costs["edit"] + (0 if (x, y) == (v, c) else self.costs["short"])
                     best = cost if best is None else max(best, cost)
         # A mistyped short form: "Johy" for Joseph.
         near = self.closest(v, self.near_given, 4, self.row_near_given)
         if best is None and near and (self.long.get(near, set()) | {near}) & bases_c:
-            best = EDIT - 1.5
+            best = self.costs["edit"] + self.costs["short"]
         near = self.closest(c, self.near_given, 4, self.row_near_given)
         if best is None and near and (self.long.get(near, set()) | {near}) & bases_v:
-            best = EDIT - 1.5
+            best = self.costs["edit"] + self.costs["short"]
         if best is None and not (self.known(v) and self.known(c)) and not (self.like_given(v) and self.like_given(c)):
-            best = UNKNOWN_GIVEN
+            best = self.costs["unknown"]
         return best
 
     def likelihood(self, v: dict, c: dict, wrong: int) -> float | None:
@@ -349,13 +359,33 @@ class Reader:
             a, b = set(v["extra"].split()), set(c["extra"].split())
             if a and b and not (a <= b or b <= a):
                 return None
-            return wrong * EDIT + (-1.0 if a != b else 0.0)
+            if wrong >= 2 and min(len(v["core"]), len(c["core"])) < 8:
+                return None
+            return wrong * self.costs["edit"] + (-1.0 if a != b else 0.0)
         given = self.given_cost(v["given"], c["given"])
-        if given is None or (given == UNKNOWN_GIVEN and wrong):
+        if given is None or (given == self.costs["unknown"] and wrong):
             return None
         if wrong >= 2 and (len(v["given"]) < 2 or given < -4) and min(len(v["core"]), len(c["core"])) < 10:
             return None
-        return wrong * EDIT + given
+        if wrong >= 2 and given and min(len(v["core"]), len(c["core"])) < 8:
+            return None
+        return wrong * self.costs["edit"] + given
+
+    def change(self, v: dict, c: dict) -> list[str]:
+        """What happened between two forms of one person: of the core ('same' or 'edit' for each of its edits), and of the given name."""
+        wrong = edits(v["core"], c["core"], 2)
+        if v["sort"] != "person" or c["sort"] != "person" or wrong > 2:
+            return []
+        a, b = sorted((v["given"], c["given"]), key=len)
+        core = ["edit"] * wrong or ["same"]
+        if a == b:
+            return [*core, "exact"]
+        if not a:
+            return [*core, "missing"]
+        if len(a) == 1:
+            return [*core, "initial" if a == b[0] else "other_initial"]
+        long_a, long_b = self.long.get(a, {a}) | {a}, self.long.get(b, {b}) | {b}
+        return [*core, "short" if long_a & long_b else "edited" if edits(a, b, 2) <= 2 else "unknown"]
 
 
 def places(names: DataFrame, forms: list[tuple[str, str]], things: bool) -> DataFrame:
@@ -409,6 +439,23 @@ def name_forms(given_name_forms: DataFrame) -> list[tuple[str, str]]:
     return [(r[0], r[1]) for r in rows]
 
 
+def channel(pairs: DataFrame, forms: list[tuple[str, str]]) -> dict[str, float]:
+    """Log likelihoods of the changes between forms (v_..., c_...) that stand in one row of entities, as counted there, with COSTS as PRIOR observations."""
+
+    def changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(forms, [], [])
+        for batch in batches:
+            sides = [[dict(zip(FORM, x)) for x in zip(*(batch.column(i + at).to_pylist() for i in range(len(FORM))))] for at in (0, len(FORM))]
+            found = [x for v, c in zip(*sides) for x in reader.change(v, c)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.string())], names=["change"])
+
+    rows = pairs.mapInArrow(changes, "change string").groupBy("change").count().collect()  # a row for each kind of change
+    seen = {r["change"]: r["count"] for r in rows}
+    cores, given = seen.get("same", 0) + seen.get("edit", 0), sum(n for x, n in seen.items() if x not in ("same", "edit"))
+    total = lambda x: cores if x == "edit" else given
+    return {x: math.log((seen.get(x, 0) + PRIOR * math.exp(cost)) / (total(x) + PRIOR)) for x, cost in COSTS.items()}
+
+
 def settled(parents: DataFrame, max_jumps: int) -> DataFrame:
     """(form, root) with the parent's parent taken until no root changes; a jump doubles the depth that is settled."""
     for _ in range(max_jumps):
@@ -435,7 +482,12 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     from_rows = row.select("row", "type", F.explode("names").alias("name")).where(F.col("name").isNotNull() & blank)
     from_rows = materialize(from_rows, "rows")
     people = memories.select(F.explode("people").alias("name")).where(F.col("name").isNotNull() & blank)
-    spellings = from_rows.select("name").union(people).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    is_thing, is_person = F.col("type").isin("project", "tool"), F.col("type") == "person"
+    spellings = (
+        from_rows.select("name", F.coalesce(is_thing, F.lit(False)).alias("t"), F.coalesce(is_person, F.lit(False)).alias("p"))
+        .union(people.select("name", F.lit(False), F.lit(False)))
+        .groupBy("name").agg(F.count(F.lit(1)).alias("n"), (F.max("t") & ~F.max("p")).alias("thing"))
+    )
 
     forms = name_forms(given_name_forms)
     given = learned_tokens(from_rows.where(F.col("type") == "person").select("name").distinct(), forms, False)
@@ -462,9 +514,9 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
         reader = Reader(forms, [], [])
         for batch in batches:
             rows = []
-            for name, g, k in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+            for name, thing, g, k in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
                 reader.learn(g or (), k or ())
-                rows.append(reader.read(name))
+                rows.append(reader.read(name, thing))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kind = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
@@ -525,8 +577,11 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     scored_from = near_pairs.select(*columns, F.lit(False).alias("seen")).union(row_pairs.select(*columns, F.lit(True).alias("seen")))
     scored_from = scored_from.groupBy(*columns).agg(F.max("seen").alias("seen"))
 
+    of = lambda s: [F.col(f"{f}_{s}") for f in FORM]
+    costs = channel(row_pairs.select(*of("v"), *of("c")), forms)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(forms, [], [])
+        reader = Reader(forms, [], [], costs)
         for batch in batches:
             out = []
             for r in batch.to_pylist():

@@ -205,6 +205,31 @@ def test_names_link_variants_and_keep_namesakes_apart(spark):
     assert len(got) == 28 + 3
 
 
+@pytest.mark.parametrize("a,b", [("montgomeryson", "mantgimerysan"), ("keller", "kelar"), ("kralimoden", "kralmodin"), ("bemubroku", "bemubroku")])
+def test_neighbourhoods_meet_within_the_allowed_edits(a, b):
+    assert names.edits(a, b, 3) <= names.allowed(min(len(a), len(b)))
+    assert names.neighbourhood(a) & names.neighbourhood(b)
+
+
+def test_variants_at_the_allowed_edits_link(spark):
+    got = link(spark, [], [["Robert Montgomeryson", "Robert Mantgimerysan"], ["Anna Keller"] * 3, ["Anna Kelar"]])
+    assert ("Robert Mantgimerysan", "Robert Montgomeryson") in got and ("Anna Kelar", "Anna Keller") in got
+
+
+def test_things_of_one_kind_stay_apart(spark):
+    rows = [(str(i), "tool", f"{x} Zibbler", [f"{x.lower()}-zibbler"]) for i, x in enumerate(["Kubrixoma", "Tovikaluma"])]
+    assert link(spark, rows, []) == {("Kubrixoma Zibbler", "kubrixoma-zibbler"), ("Tovikaluma Zibbler", "tovikaluma-zibbler")}
+
+
+def test_likelihoods_follow_the_rows(spark):
+    form = ("sort", "given", "core", "extra")
+    rows = [("person", "robert", "kralimo", "", "person", "r", "kralimo", "")] * 900 + [("person", "robert", "kralimo", "", "person", "robert", "kralimx", "")] * 100
+    pairs = spark.createDataFrame(rows, ", ".join(f"{f}_{x} string" for x in "vc" for f in form))
+    costs = names.channel(pairs, [])
+    assert costs["initial"] > names.COSTS["initial"] > costs["missing"] and costs["edit"] > names.COSTS["edit"]
+    assert names.channel(pairs.limit(0), []) == pytest.approx(names.COSTS)
+
+
 FIRST = ["Anna", "Carlos", "Daniel", "Elena", "Felix", "Grace", "Helen", "Ivan", "Julia", "Kevin", "Laura", "Mary", "Noor", "Olga"]
 
 
