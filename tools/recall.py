@@ -1,6 +1,6 @@
-"""python tools/recall.py SF [COPIES]: recall of the neighbours against brute force over the rows of 1,500 drawn ids, ties within 1e-9 counted as found.
+"""python tools/recall.py SF [COPIES]: recall of the neighbours against brute force over the rows of 1,500 drawn ids (500 of an enlarged collection), ties within 1e-9 counted as found.
 
-With COPIES above 1 the collection is enlarged by so many noisy copies of each vector (rotated anew for each copy, so that copies make new clusters, not denser ones).
+With COPIES above 1 the collection is enlarged by so many copies of each vector, rotated anew for each copy, so that copies make new clusters, not denser ones.
 """
 
 import os
@@ -36,7 +36,7 @@ def main(sf: str, copies: int = 1) -> None:
             part = x[at : at + step]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)), pa.array(part.reshape(-1)))
             pq.write_table(pa.table({"id": ids[at : at + step], "embedding": lists}), f"{source}/{n}.parquet")
-    drawn = rng.choice(len(ids), min(1500, len(ids)), replace=False)
+    drawn = rng.choice(len(ids), min(1500 if copies == 1 else 500, len(ids)), replace=False)
     spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     began = time.time()
