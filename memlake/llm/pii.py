@@ -3,7 +3,7 @@
 Method: a linear-chain conditional random field over word-shape features. It is trained on the small labelled
 table of pii_table (a documented, fixed table; gradient steps on the log likelihood) and decoded by
 Viterbi in numpy batches. Features of a token are its word (if the labelled table knows it), its shape, and the lists it stands in
-(given names, kinds of streets, kinds of projects, ...), each in a window of three tokens to both sides; conjunctions of
+(given names, kinds of streets, labels of numbers, ordinary words and words that always have a capital, ...), each in a window of three tokens to both sides; conjunctions of
 neighbouring shapes; whether it touches its neighbours; and the shape of the run of digits, or of the run of
 characters around an at sign, that it lies in.
 
