@@ -80,6 +80,7 @@ def classify(
     """(id_a, id_b, pair_hash, stage, relation, confidence, rationale, cost_usd) for each pair that isn't done yet.
 
     stage: cap_reached, stage1_rejected or stage2_done. A contradiction with a rejected record counts as none.
+    Every attempt at a reply counts in the cost.
     """
     ends = records.select("id", "content", "type")
     rows = pairs.withColumn("pair_hash", pair_hash(F.col("id_a"), F.col("id_b"))).dropDuplicates(["pair_hash"])
@@ -89,19 +90,19 @@ def classify(
     rows = rows.join(ends.select(F.col("id").alias("id_a"), F.col("content").alias("content_a"), F.col("type").alias("type_a")), "id_a")
     rows = rows.join(ends.select(F.col("id").alias("id_b"), F.col("content").alias("content_b"), F.col("type").alias("type_b")), "id_b")
     rows = materialize(rows, "pairs")
-    first = materialize(replies(rows.where("affordable"), stage1, tasks).withColumn("passed", verdict(F.col("reply"))).drop("reply", "attempts"), "stage1")
+    first = materialize(replies(rows.where("affordable"), stage1, tasks).withColumn("passed", verdict(F.col("reply"))).withColumnRenamed("attempts", "tries").drop("reply"), "stage1")
     second = replies(first.where("passed"), stage2, tasks).withColumn("parsed", relation_reply(F.col("reply"), (*RELATIONS, "none")))
     second = materialize(second, "stage2")
     guarded = F.when((F.col("parsed.relation") == "contradicts") & ((F.col("type_a") == "rejection") | (F.col("type_b") == "rejection")), "none").otherwise(F.col("parsed.relation"))
     shape = lambda df, stage, relation, confidence, rationale, cost: df.select(
         "id_a", "id_b", "pair_hash", F.lit(stage).alias("stage"), relation.cast("string").alias("relation"), confidence.cast("double").alias("confidence"),
-        rationale.cast("string").alias("rationale"), F.lit(cost).alias("cost_usd"),
+        rationale.cast("string").alias("rationale"), cost.cast("double").alias("cost_usd"),
     )
     none = F.lit(None)
     return (
-        shape(rows.where("NOT affordable"), "cap_reached", none, none, none, 0.0)
-        .unionByName(shape(first.where("NOT coalesce(passed, false)"), "stage1_rejected", none, none, none, STAGE1_COST))
-        .unionByName(shape(second, "stage2_done", guarded, F.col("parsed.confidence"), F.col("parsed.rationale"), STAGE1_COST + STAGE2_TYPICAL))
+        shape(rows.where("NOT affordable"), "cap_reached", none, none, none, F.lit(0.0))
+        .unionByName(shape(first.where("NOT coalesce(passed, false)"), "stage1_rejected", none, none, none, F.col("tries") * STAGE1_COST))
+        .unionByName(shape(second, "stage2_done", guarded, F.col("parsed.confidence"), F.col("parsed.rationale"), F.col("tries") * STAGE1_COST + F.col("attempts") * STAGE2_TYPICAL))
     )
 
 

@@ -124,3 +124,21 @@ def test_search_mode_and_compaction(spark):
     assert retrieve.search_mode(rows, True, ["s"]) == retrieve.search_mode(rows, False, ["t"]) == "fulltext_only"
     out = retrieve.compacted(spark.createDataFrame([(0.12349999, [], True, 1)], "score double, people array<string>, early_stopped boolean, created_at int")).first()
     assert out.asDict() == {"score": 0.123, "people": None, "early_stopped": True}
+
+
+def test_every_attempt_of_a_cascade_costs(spark):
+    from memlake.operators import cascade
+
+    tried = {}
+
+    def once_broken(batch):
+        key = tuple(batch["pair_hash"])
+        tried[key] = tried.get(key, 0) + 1
+        if tried[key] == 1:
+            raise ValueError("no reply")
+        return ["YES"] * len(batch)
+
+    records = spark.createDataFrame([("a", "one two three", "context"), ("b", "one two four", "context")], "id string, content string, type string")
+    pairs = spark.createDataFrame([("a", "b")], "id_a string, id_b string")
+    cost = {n: cascade.classify(pairs, records, stage1=m).first()["cost_usd"] for n, m in (("plain", lambda batch: ["YES"] * len(batch)), ("twice", once_broken))}
+    assert cost["twice"] - cost["plain"] == pytest.approx(cascade.STAGE1_COST)
