@@ -388,6 +388,16 @@ class Reader:
         return [*core, "short" if long_a & long_b else "edited" if edits(a, b, 2) <= 2 else "unknown"]
 
 
+def by_sort(side: DataFrame) -> DataFrame:
+    """side, joined by sorting instead of a broadcast.
+
+    Spark's estimate is the size of the compressed files, without what a map or an explode multiplies. A side below the
+    broadcast bound by that estimate can be gigabytes, and all of it would go through the driver; adaptive execution doesn't take
+    a planned broadcast back, since a sorted join has more exchanges.
+    """
+    return side.hint("merge")
+
+
 def places(names: DataFrame, forms: list[tuple[str, str]], things: bool) -> DataFrame:
     """(t, known, n, total) of the tokens of two-word names: different partners with t as the given name or kind, and all of them.
 
@@ -428,8 +438,8 @@ def learned_tokens(names: DataFrame, forms: list[tuple[str, str]], things: bool)
     fit = ~F.col("known") & (F.col("n") >= LEAST_PARTNERS) & (F.col("n") >= PLACE_SHARE * F.col("total")) & ~F.col("t").isin(*sorted(never))
     found = counted.where(fit).select("t", "n")
     more = token_keys(counted.where(fit | F.col("known")).select("t", F.col("n").alias("more"))).withColumnRenamed("t", "other")
-    typos = token_keys(found).join(more, "key").where((F.col("t") != F.col("other")) & (F.col("more") >= TYPO_PART * F.col("n"))).select("t").distinct()
-    return found.select("t").join(typos, "t", "left_anti")
+    typos = token_keys(found).join(by_sort(more), "key").where((F.col("t") != F.col("other")) & (F.col("more") >= TYPO_PART * F.col("n"))).select("t").distinct()
+    return found.select("t").join(by_sort(typos), "t", "left_anti")
 
 
 def name_forms(given_name_forms: DataFrame) -> list[tuple[str, str]]:
@@ -460,7 +470,7 @@ def settled(parents: DataFrame, max_jumps: int) -> DataFrame:
     """(form, root) with the parent's parent taken until no root changes; a jump doubles the depth that is settled."""
     for _ in range(max_jumps):
         up = parents.select(F.col("form").alias("root"), F.col("root").alias("up"))
-        jumped = materialize(parents.join(up, "root").select("form", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "parents")
+        jumped = materialize(parents.join(by_sort(up), "root").select("form", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "parents")
         parents = jumped.select("form", "root")
         if jumped.where("moved").isEmpty():
             return parents
@@ -493,7 +503,7 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     given = learned_tokens(from_rows.where(F.col("type") == "person").select("name").distinct(), forms, False)
     kinds = learned_tokens(from_rows.where(F.col("type").isin("project", "tool")).select("name").distinct(), forms, True)
     given = given.withColumn("thing", F.lit(False))
-    kinds = kinds.join(given.select("t"), "t", "left_anti").withColumn("thing", F.lit(True))
+    kinds = kinds.join(by_sort(given.select("t")), "t", "left_anti").withColumn("thing", F.lit(True))
     learned = materialize(token_keys(given.union(kinds)), "learned")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +516,7 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
                 keys += found
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string()), pa.array(keys, type=pa.string())], names=["name", "key"])
 
-    met = spellings.select("name").mapInArrow(keyed, "name string, key string").join(learned, "key").groupBy("name").agg(
+    met = spellings.select("name").mapInArrow(keyed, "name string, key string").join(by_sort(learned), "key").groupBy("name").agg(
         F.collect_set(F.when(~F.col("thing"), F.col("t"))).alias("given_near"), F.collect_set(F.when(F.col("thing"), F.col("t"))).alias("kinds_near")
     )
 
@@ -525,17 +535,17 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
 
     key = F.xxhash64(*FORM)
     spelled = materialize(
-        spellings.join(met, "name", "left").mapInArrow(read, "name string, n long, sort string, given string, core string, extra string, full boolean").withColumn("form", key),
+        spellings.join(by_sort(met), "name", "left").mapInArrow(read, "name string, n long, sort string, given string, core string, extra string, full boolean").withColumn("form", key),
         "spellings",
     )
     # The learned given names that a form's own can be or be a typo of.
     own_near = (
         token_keys(spelled.where((F.col("sort") == "person") & (F.length("given") > 2)).select(F.col("given").alias("t")).distinct()).withColumnRenamed("t", "given")
-        .join(learned.where(~F.col("thing")), "key").groupBy("given").agg(F.array_join(F.array_sort(F.collect_set("t")), " ").alias("near"))
+        .join(by_sort(learned.where(~F.col("thing"))), "key").groupBy("given").agg(F.array_join(F.array_sort(F.collect_set("t")), " ").alias("near"))
     )
     forms_table = materialize(
         spelled.groupBy("form", *FORM).agg(F.sum("n").alias("n"), F.max("full").alias("full"))
-        .join(own_near, "given", "left").select("form", *FORM, "n", "full", F.coalesce("near", F.lit("")).alias("near")),
+        .join(by_sort(own_near), "given", "left").select("form", *FORM, "n", "full", F.coalesce("near", F.lit("")).alias("near")),
         "forms",
     )
 
@@ -553,9 +563,11 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
             yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string()), pa.array(keys, type=pa.int64())], names=["core", "key"])
 
     cores = forms_table.where(F.col("sort") != "other").select("sort", "core", F.when(F.col("sort") == "person", F.col("extra")).otherwise("").alias("extra")).distinct()
-    near = cores.select("core", "extra").distinct().mapInArrow(deletions, "core string, key long").distinct()
+    # A core has hundreds of deletions, so parts stay as many as they are: adaptive execution would join them by the size of the cores.
+    parts = int(forms_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = cores.select("core", "extra").repartition(parts, "core", "extra").distinct().mapInArrow(deletions, "core string, key long").distinct()
     pairs = (
-        near.alias("a").join(near.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.core") <= F.col("b.core")))
+        near.alias("a").join(by_sort(near.alias("b")), (F.col("a.key") == F.col("b.key")) & (F.col("a.core") <= F.col("b.core")))
         .select(F.col("a.core").alias("x"), F.col("b.core").alias("y")).distinct()
     )
     ends = pairs.select(F.col("x").alias("core_v"), F.col("y").alias("core_c")).union(
@@ -565,14 +577,14 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     variant, candidate = side("v", forms_table), side("c", forms_table)
     rank = lambda s: F.struct(F.col(f"full_{s}"), F.col(f"n_{s}"), -F.col(f"form_{s}").cast("decimal(20,0)"))
     before = rank("c") > rank("v")
-    near_pairs = ends.join(variant, "core_v").join(candidate, "core_c").where((F.col("form_v") != F.col("form_c")) & (F.col("sort_v") == F.col("sort_c")) & before)
+    near_pairs = ends.join(by_sort(variant), "core_v").join(by_sort(candidate), "core_c").where((F.col("form_v") != F.col("form_c")) & (F.col("sort_v") == F.col("sort_c")) & before)
 
-    in_row = from_rows.join(spelled.select("name", "form"), "name").select("row", "form").distinct()
+    in_row = from_rows.join(by_sort(spelled.select("name", "form")), "name").select("row", "form").distinct()
     evidence = (
-        in_row.select("row", F.col("form").alias("form_v")).join(in_row.select("row", F.col("form").alias("form_c")), "row")
+        in_row.select("row", F.col("form").alias("form_v")).join(by_sort(in_row.select("row", F.col("form").alias("form_c"))), "row")
         .where("form_v <> form_c").select("form_v", "form_c").distinct()
     )
-    row_pairs = evidence.join(variant, "form_v").join(candidate, "form_c").where(before)
+    row_pairs = evidence.join(by_sort(variant), "form_v").join(by_sort(candidate), "form_c").where(before)
     columns = [f"{f}_{s}" for s in "vc" for f in ("form", "n", "full", "near", *FORM)]
     scored_from = near_pairs.select(*columns, F.lit(False).alias("seen")).union(row_pairs.select(*columns, F.lit(True).alias("seen")))
     scored_from = scored_from.groupBy(*columns).agg(F.max("seen").alias("seen"))
@@ -606,7 +618,7 @@ def linked_names(entities: DataFrame, memories: DataFrame, given_name_forms: Dat
     best = scored_from.mapInArrow(score, "form long, to long, full boolean, posterior double").groupBy("form").agg(
         F.max_by("to", F.struct("full", "posterior", "to")).alias("to")
     )
-    parents = materialize(forms_table.select("form").join(best, "form", "left").select("form", F.coalesce("to", "form").alias("root")), "parents")
-    grouped = spelled.select("name", "form").join(settled(parents, max_jumps), "form").select("root", "name")
+    parents = materialize(forms_table.select("form").join(by_sort(best), "form", "left").select("form", F.coalesce("to", "form").alias("root")), "parents")
+    grouped = spelled.select("name", "form").join(by_sort(settled(parents, max_jumps)), "form").select("root", "name")
     a, b = grouped.select("root", F.col("name").alias("name_a")), grouped.select("root", F.col("name").alias("name_b"))
-    return a.join(b, "root").where("name_a < name_b").select("name_a", "name_b").distinct()
+    return a.join(by_sort(b), "root").where("name_a < name_b").select("name_a", "name_b").distinct()

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from memlake.llm import names, pii, pii_table, spam, winnow
+from memlake.session import materialize
 
 
 def leaks(docs, items, n=8):
@@ -281,6 +282,17 @@ def test_names_without_a_full_form_link(spark):
     assert got == {("S. Bizizepun", "S. F Bizizoepu"), ("Kubrixomanu v2", "Kubrixxomanu v3")}
 
 
+def test_names_are_joined_without_broadcasts(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(names, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialize(df, name))
+    e = spark.createDataFrame([("1", "person", "Robert Kralimoden", ["R. Kralimoden"]), ("2", "tool", "Tovikalu Ledger", None)], ENTITY)
+    m = spark.createDataFrame([(["Bob Kralimoden", "Robert Kralimodn"],)], "people array<string>")
+    found = names.linked_names(e, m, spark.createDataFrame([("Robert", "Bob")], "given_name string, short_form string"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert found.count() == 6
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_names_of_empty_tables(spark):
     empty = spark.createDataFrame([], ENTITY)
     people = spark.createDataFrame([], "people array<string>")
